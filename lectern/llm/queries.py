@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.common import read_table
-from lectern.llm import bpe, packing, topn
+from lectern.llm import bpe, packing, spam, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(read_table(spark, sf_dir, "documents")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly repeated keywords, links or product tags."""
+    return spam.spam_pages(read_table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 
 ORACLES: dict[str, str] = {
