@@ -23,7 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
     table already has more partitions than cores and isn't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def small_batches(batches, most_bytes: int = 8_000_000):
