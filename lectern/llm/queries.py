@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.common import read_table
-from lectern.llm import bpe, packing, spam, topn
+from lectern.llm import bpe, neardup, packing, spam, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_name", "result_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of chunks with a similarity of at least 0.7 on three-word shingles."""
+    return neardup.similar_pairs(read_table(spark, sf_dir, "chunk_metadata"), similarity=0.7, words=3, least_words=20)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(read_table(spark, sf_dir, "documents"))
@@ -33,6 +38,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
