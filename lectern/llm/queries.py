@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.common import read_table
-from lectern.llm import bpe, neardup, packing, spam, topn
+from lectern.llm import bpe, neardup, packing, spam, spans, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(read_table(spark, sf_dir, "chunk_metadata"), similarity=0.7, words=3, least_words=20)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 200 characters of a chunk that stand word for word in another chunk."""
+    return spans.shared_spans(read_table(spark, sf_dir, "chunk_metadata"))
+
+
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each chunk is shared with others."""
+    return spans.shared_amount(read_table(spark, sf_dir, "chunk_metadata"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(read_table(spark, sf_dir, "documents"))
@@ -39,6 +49,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_shared": p5_shared,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
