@@ -131,10 +131,10 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
 def _in_two(named: DataFrame) -> DataFrame:
     """The rows whose name occurs under two ids. No name's rows are gathered.
 
-    The rows are made and shuffled once for both uses: the condition on ``pos``, which always holds, keeps their
-    columns alike, so that Spark reuses the exchange.
+    The rows are made and shuffled once for both uses: the conditions that always hold keep their columns and
+    filters alike, so that Spark reuses the exchange.
     """
-    rows = named.repartition("name")
+    rows = named.where("name is not null and id is not null and pos is not null").repartition("name")
     both = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("pos").alias("p"))
     shared = both.where("a < b and p >= 0").select("name")
     return rows.join(shared, "name").select("id", "pos")
