@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.common import read_table
-from lectern.llm import bpe, neardup, packing, spam, spans, topn
+from lectern.llm import bpe, encodings, neardup, packing, spam, spans, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_name", "result_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and fields that were read in a wrong encoding."""
+    return encodings.repair_encodings(read_table(spark, sf_dir, "chunk_metadata")).select("id", "field")
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored values with the chain of encodings undone."""
+    return encodings.repair_encodings(read_table(spark, sf_dir, "chunk_metadata"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of chunks with a similarity of at least 0.7 on three-word shingles."""
     return neardup.similar_pairs(read_table(spark, sf_dir, "chunk_metadata"), similarity=0.7, words=3, least_words=20)
@@ -48,6 +58,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_shared": p5_shared,
