@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.common import read_table
-from lectern.llm import bpe, encodings, neardup, packing, spam, spans, topn
+from lectern.llm import bpe, encodings, neardup, packing, scans, spam, spans, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_name", "result_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of leftovers of printed pages in each chunk."""
+    return scans.scan_noise(read_table(spark, sf_dir, "chunk_metadata"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and fields that were read in a wrong encoding."""
     return encodings.repair_encodings(read_table(spark, sf_dir, "chunk_metadata")).select("id", "field")
@@ -58,6 +63,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
