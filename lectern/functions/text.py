@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The white space of Unicode text patterns, spelled out because regex dialects differ in ``\\s``.
 SPACE = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -161,7 +162,7 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility-composed text without soft hyphens; null stays null."""
     for batch in texts:
