@@ -78,7 +78,7 @@ kt AS (
   UNION ALL
   SELECT DISTINCT query_id, 'w' || i, false, unnest(list_filter([w,
       CASE WHEN w LIKE '%ing' AND length(w) > 5 THEN w[:-4] END, CASE WHEN w LIKE '%ed' AND length(w) > 4 THEN w[:-3] END, CASE WHEN w LIKE '%ed' AND length(w) > 4 THEN w[:-2] END,
-      CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' END, CASE WHEN w LIKE '%es' AND length(w) > 4 THEN w[:-3] END, CASE WHEN w LIKE '%s' AND length(w) > 3 THEN w[:-2] END], x -> x IS NOT NULL))
+      CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' END, CASE WHEN w LIKE '%es' AND length(w) > 4 THEN w[:-3] END, CASE WHEN w LIKE '%s' AND length(w) > 3 THEN w[:-2] END], lambda x: x IS NOT NULL))
   FROM (SELECT query_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT query_id, regexp_split_to_array(regexp_replace(q, '"[^"]+"', '', 'g'), '{_WS}+') AS a FROM kq))
   WHERE length(w) > 2 AND w NOT IN {_STOP}),
 kv AS MATERIALIZED (SELECT DISTINCT variant FROM kt),
@@ -98,8 +98,8 @@ hits AS MATERIALIZED (SELECT run_id AS query_id, id, relevance_score AS score, r
 placed AS MATERIALIZED (SELECT id, doc_name, text, row_number() OVER (PARTITION BY doc_name ORDER BY id) AS no FROM chunks WHERE doc_name IS NOT NULL),
 windows AS MATERIALIZED (SELECT h.query_id, h.rank, h.id, (b.no - a.no)::INT AS "offset", b.id AS near_id, b.text AS near_text, a.doc_name FROM hits h JOIN placed a USING (id) JOIN placed b ON b.doc_name = a.doc_name AND b.no BETWEEN a.no - 1 AND a.no + 1),
 firsts AS (SELECT query_id, doc_name, near_text, rank, "offset" FROM windows QUALIFY row_number() OVER (PARTITION BY query_id, doc_name, near_text ORDER BY rank, "offset") = 1),
-docs AS (SELECT query_id, doc_name, min(rank * 10 + "offset" + 1) AS at, list(near_text ORDER BY rank, "offset") FILTER (WHERE near_text IS NOT NULL) AS texts, count(*) AS n FROM firsts GROUP BY 1, 2),
-grp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at, doc_name) AS doc_ord, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS ref FROM docs)"""
+docs AS (SELECT query_id, doc_name, min(rank * 10 + "offset" + 1) AS spot, list(near_text ORDER BY rank, "offset") FILTER (WHERE near_text IS NOT NULL) AS texts, count(*) AS n FROM firsts GROUP BY 1, 2),
+grp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, doc_name) AS doc_ord, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS ref FROM docs)"""
 
 
 def _context(numbered: bool) -> str:
