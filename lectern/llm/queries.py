@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan_noise(read_table(spark, sf_dir, "chunk_metadata"))
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with leftovers as continuous paragraphs."""
+    return scans.repair_scans(read_table(spark, sf_dir, "chunk_metadata"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and fields that were read in a wrong encoding."""
     return encodings.repair_encodings(read_table(spark, sf_dir, "chunk_metadata")).select("id", "field")
@@ -64,6 +69,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
