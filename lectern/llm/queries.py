@@ -41,6 +41,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(read_table(spark, sf_dir, "chunk_metadata"), similarity=0.7, words=3, least_words=20)
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with the class of its equals, the group of its similars and the number of its links."""
+    return neardup.groups(read_table(spark, sf_dir, "chunk_metadata"), similarity=0.7, words=3, least_words=20)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least 200 characters of a chunk that stand word for word in another chunk."""
     return spans.shared_spans(read_table(spark, sf_dir, "chunk_metadata"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_shared": p5_shared,
     "p6_ids": p6_ids,

@@ -21,15 +21,17 @@ from lectern.common import small_batches, spread
 from lectern.llm.points import U, code_points, mix, prefix_sums, span_hash
 
 
-def rounds_for(length: int) -> tuple[list[int], int, int]:
-    """Bounds of the symbol sizes by round, the margin they may cost at each end of a copy, and the anchors' window."""
+def rounds_for(length: int) -> tuple[list[int], int, int, int]:
+    """Bounds of the symbol sizes by round, how far an anchor must be from the start and from the end of a copy, and
+    how many places that leaves it: the width of the window of which the anchor is the least."""
     caps: list[int] = []
     while True:
         more = [*caps, 2 << len(caps)]
-        left = length - 2 * sum(2 * c - 1 for c in more) - more[-1]
-        if left < max(more[-1], length // 3):
+        margin = sum(2 * c - 1 for c in more)
+        if length - 2 * margin - more[-1] < max(more[-1], length // 3):
             margin = sum(2 * c - 1 for c in caps)
-            return caps, margin, length - 2 * margin - (caps[-1] if caps else 1) + (0 if caps else 1)
+            after = margin + caps[-1] if caps else (length + 1) // 2
+            return caps, margin, after, length - margin - after + 1
         caps = more
 
 
@@ -73,7 +75,7 @@ def _sliding(x: np.ndarray, width: int, least: np.ufunc, fill) -> np.ndarray:
 def anchors(flat: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     """Positions such that the copies of every span of ``length`` hold the same ones, one at least, at a distance of
     at least the margin from either end."""
-    caps, _, width = rounds_for(length)
+    caps, _, _, width = rounds_for(length)
     name, start = recompress(flat, begin, caps)
     top = np.iinfo(np.uint64).max
     dense = np.full(len(flat), top, U)
@@ -85,8 +87,7 @@ def anchors(flat: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
 
 def _seeds(docs: DataFrame, length: int) -> DataFrame:
     """``seed, id, pos``: a hash of the surroundings of every anchor, as long as they lie within every copy."""
-    caps, margin, _ = rounds_for(length)
-    after = margin + (caps[-1] if caps else length - margin)
+    _, margin, after, _ = rounds_for(length)
 
     def run(batches):
         for batch in small_batches(batches, 4_000_000):
@@ -106,8 +107,7 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
     """``name, id, pos``: a hash of every window of ``length`` that holds one of the marked places ``at`` of its text."""
-    caps, margin, _ = rounds_for(length)
-    after = margin + (caps[-1] if caps else length - margin)
+    _, margin, after, _ = rounds_for(length)
 
     def run(batches):
         for batch in small_batches(batches, 2_000_000):
