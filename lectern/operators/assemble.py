@@ -125,3 +125,22 @@ def evaluation_rows(hits: DataFrame, cases: DataFrame) -> DataFrame:
     kept = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("results"))
     joined = cases.join(kept, "query_id", "left").withColumn("results", F.coalesce("results", F.array().cast(kept.schema["results"].dataType)))
     return joined.select(F.col("query_id").alias("eval_id"), F.to_json(F.struct(F.col("query").alias("prompt"), F.size("results").alias("num_results"), "results")).alias("result"))
+
+
+def printed_hits(hits: DataFrame) -> DataFrame:
+    """``query_id, printed``: the hits ``(query_id, rank, doc_name, relevance_percent, text)`` of each query as plain text."""
+    line = F.format_string("Result %d: %s\nRelevance: %d%%\n%s", "rank", F.coalesce("doc_name", F.lit("")), "relevance_percent", F.coalesce("text", F.lit("")))
+    rows = hits.select("query_id", F.struct("rank", line.alias("line")).alias("r")).groupBy("query_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    return rows.select("query_id", F.array_join(F.transform("rs", lambda r: r["line"]), "\n\n").alias("printed"))
+
+
+def report_documents(bodies: DataFrame, contexts: DataFrame, generated: str) -> DataFrame:
+    """``query_id, file_name, document``: the bodies ``(query_id, topic, body)`` as files with front matter and references."""
+    head = F.concat(F.lit("---\ntopic: "), F.col("topic"), F.lit(f"\ngenerated: {generated}\n---\n\n"))
+    document = F.concat(head, F.lit("Sources:\n"), F.coalesce("refs", F.lit("")), F.lit("\n\n"), F.col("body"))
+    return bodies.join(contexts.select("query_id", "refs"), "query_id", "left").select("query_id", F.concat(report_file_name(F.col("topic")), F.lit(".md")).alias("file_name"), document.alias("document"))
+
+
+def missing_files(expected: DataFrame, present: DataFrame, name: str = "file_name") -> DataFrame:
+    """The rows of ``expected`` whose name isn't among ``present``."""
+    return expected.join(present.select(name).distinct(), name, "left_anti")

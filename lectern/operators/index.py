@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.common import once_per_key
+from lectern.common import materialize, once_per_key
 from lectern.functions.text import STOP_WORDS, tokens, with_bigrams
 
 
@@ -43,20 +43,23 @@ def tfidf(chunks: DataFrame, stop_words=STOP_WORDS, max_features: int = 8000, mi
     by term. ``n`` counts every chunk, also those without terms. The stop list is a parameter.
     """
     n = chunks.count()
-    posted = postings(chunks, stop_words, bigrams=True, least=2)
+    posted = materialize(postings(chunks, stop_words, bigrams=True, least=2))
     vocabulary = term_statistics(posted).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
-    vocabulary = vocabulary.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+    vocabulary = materialize(vocabulary.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
+    return Weighted(_unit_rows(posted, vocabulary), vocabulary, n)
+
+
+def _unit_rows(posted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``id, term, weight`` of the vocabulary's terms, each id's weights scaled to length 1. A row's cells are one text's."""
     cells = posted.join(vocabulary.select("term", "idf"), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return Weighted(cells.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), vocabulary, n)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return cells.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_queries(queries: DataFrame, model: Weighted, stop_words=STOP_WORDS) -> DataFrame:
     """``query_id, term, weight`` of ``queries (query_id, query)`` in the model's vocabulary, rows of length 1."""
     posted = postings(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), stop_words, bigrams=True, least=2)
-    cells = posted.join(model.vocabulary.select("term", "idf"), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return cells.join(norms, "id").select(F.col("id").alias("query_id"), "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return _unit_rows(posted, model.vocabulary).withColumnRenamed("id", "query_id")
 
 
 def bm25(chunks: DataFrame, stop_words=STOP_WORDS, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Weighted:
@@ -66,12 +69,12 @@ def bm25(chunks: DataFrame, stop_words=STOP_WORDS, k1: float = 1.5, b: float = 0
     count the words after filtering; chunks without words count towards the mean length.
     """
     n = chunks.count()
-    posted = postings(chunks, stop_words)
+    posted = materialize(postings(chunks, stop_words))
     lengths = posted.groupBy("id").agg(F.sum("tf").alias("dl"))
     mean_length = (lengths.agg(F.sum("dl")).first()[0] or 0) / max(n, 1)
     terms = term_statistics(posted).withColumn("raw", F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
     mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
-    terms = terms.withColumn("idf", F.when(F.col("raw") < 0, F.lit(epsilon * mean_idf)).otherwise(F.col("raw"))).drop("raw")
+    terms = materialize(terms.withColumn("idf", F.when(F.col("raw") < 0, F.lit(epsilon * mean_idf)).otherwise(F.col("raw"))).drop("raw"))
     tf = F.col("tf")
     part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean_length or 1.0))))
     weights = posted.join(lengths, "id").join(terms.select("term", "idf"), "term").select("id", "term", (F.col("idf") * part).alias("weight"))

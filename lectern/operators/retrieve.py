@@ -179,3 +179,8 @@ MODES = ("top-docs", "semantic", "keyword", "embedding", "hybrid")
 
 def mode_of(name: str | None) -> str:
     return name if name in MODES else "combined"
+
+
+def mode_column(name: Column) -> Column:
+    """``mode_of`` for a column."""
+    return F.when(name.isin(*MODES), name).otherwise("combined")

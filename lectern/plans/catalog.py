@@ -20,7 +20,7 @@ _CORPUS = (
 _SEARCH = (
     "search_bm25 search_tfidf search_cli search_keyword search_combined search_top_docs search_embedding search_hybrid "
     "author_filter score_labels context_window context_group report_refs prompt_rows appendix chat_messages chat_sources "
-    "staged_merge eval_run"
+    "staged_merge eval_run cli_print run_modes report_files"
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(m, n) for m, ns in ((corpus, _CORPUS), (search, _SEARCH)) for n in ns.split()}

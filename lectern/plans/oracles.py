@@ -227,4 +227,11 @@ ORACLES: dict[str, str] = {
     "chat_sources": f"WITH {_CHUNKS}, {_RUNS} SELECT query_id, doc_name, {_collapse('substr(text, 1, 150)')} AS excerpt FROM (SELECT h.query_id, c.doc_name, arg_min(c.text, h.rank) AS text FROM hits h JOIN chunks c USING (id) WHERE c.doc_name IS NOT NULL GROUP BY 1, 2)",
     "staged_merge": f"""{_BASE}, {_BM25}, {_KEYWORD}, fresh AS {_top('bscore', 15, 'id DESC')}
         SELECT query_id, id, source, rank FROM (SELECT query_id, id, 0 AS source, rank FROM keyword UNION ALL SELECT query_id, id, 1, rank FROM fresh) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY source, rank) = 1""",
+    "cli_print": f"""{_BASE}, {_TFIDF}, {_QTFIDF}, t AS {_top('raw', 3, 'id DESC', 'id', False)}
+        SELECT query_id, string_agg('Result ' || rank || ': ' || coalesce(doc_name, '') || chr(10) || 'Relevance: ' || trunc(round(score, 9) * 100)::INT || '%' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS printed FROM t JOIN chunks USING (id) GROUP BY 1""",
+    "run_modes": "SELECT r.run_id, CASE WHEN mode_name IN ('top-docs', 'semantic', 'keyword', 'embedding', 'hybrid') THEN mode_name ELSE 'combined' END AS mode, (SELECT count(DISTINCT result_id) FROM results h WHERE h.run_id = r.run_id) AS hits FROM eval_runs r",
+    "report_files": f"""WITH {_CHUNKS}, {_RUNS}, {_context(True)}
+        SELECT query_id, file_name, length(doc) AS characters, md5(doc) AS digest FROM (SELECT r.run_id AS query_id, replace(replace(replace(substr(e.prompt, 1, 50), ' ', '_'), '/', '-'), ':', '') || '.md' AS file_name,
+          '---' || chr(10) || 'topic: ' || e.prompt || chr(10) || 'generated: 2021-01-01' || chr(10) || '---' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(refs, '') || chr(10) || chr(10) || e.prompt AS doc
+          FROM eval_runs r JOIN eval_cases e ON e.id = r.eval_id LEFT JOIN ctx ON ctx.query_id = r.run_id)""",
 }

@@ -187,3 +187,31 @@ def eval_run(spark: SparkSession, d: str) -> DataFrame:
     hits = tfidf_hits(spark, d, 3, boost=False).join(store, "id")
     kept = hits.select("query_id", "rank", "id", "doc_name", F.round("score", 4).alias("relevance_score"), retrieve.relevance_percent(F.round("score", 9)).alias("relevance_percent"))
     return assemble.evaluation_rows(kept, cases(spark, d))
+
+
+def cli_print(spark: SparkSession, d: str) -> DataFrame:
+    """The best three hits of every prompt as plain text."""
+    hits = tfidf_hits(spark, d, 3, boost=False).withColumn("relevance_percent", retrieve.relevance_percent(F.round("score", 9)))
+    return assemble.printed_hits(hits.join(chunks(spark, d).select("id", "doc_name", "text"), "id"))
+
+
+def search(spark: SparkSession, d: str, mode: str | None) -> DataFrame:
+    """The search of a mode by its name, over all prompts; combined for any other name."""
+    plans = {"top-docs": search_top_docs, "semantic": search_tfidf, "keyword": search_keyword, "embedding": search_embedding, "hybrid": search_hybrid}
+    return plans.get(retrieve.mode_of(mode), search_combined)(spark, d)
+
+
+def run_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The mode each run was dispatched to, with its number of distinct hits."""
+    runs = read_table(spark, d, "eval_runs").select("run_id", retrieve.mode_column(F.col("mode_name")).alias("mode"))
+    hits = read_table(spark, d, "results").groupBy("run_id").agg(F.count_distinct("result_id").alias("hits"))
+    return runs.join(hits, "run_id", "left").select("run_id", "mode", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """A report file for every run, its prompt as the body."""
+    runs = read_table(spark, d, "eval_runs").select(F.col("run_id").alias("query_id"), F.col("eval_id"))
+    topics = runs.join(read_table(spark, d, "eval_cases").select(F.col("id").alias("eval_id"), F.col("prompt").alias("topic")), "eval_id")
+    contexts = assemble.context_text(assemble.number_references(grouped(spark, d)))
+    made = assemble.report_documents(topics.select("query_id", "topic", F.col("topic").alias("body")), contexts, "2021-01-01")
+    return made.select("query_id", "file_name", F.length("document").alias("characters"), F.md5("document").alias("digest"))
