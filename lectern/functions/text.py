@@ -37,9 +37,8 @@ def collapse(text: Column) -> Column:
 
 def tokens(text: Column, stop_words=STOP_WORDS, least: int = 3) -> Column:
     """Lower-cased words of at least ``least`` characters that are no stop words, in order; none for a null text."""
-    stop = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD)
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop_words) if stop_words else F.length(w) >= least)
 
 
 def with_bigrams(words: Column) -> Column:

@@ -52,7 +52,7 @@ def keyword_terms(queries: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """
     low = F.lower(F.coalesce("query", F.lit("")))
     phrases = F.transform(F.regexp_extract_all(low, F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.struct(F.lit(True).alias("phrase"), F.array(p).alias("variants")))
-    words = F.filter(F.split(F.regexp_replace(low, '"[^"]+"', ""), f"{SPACE}+"), lambda w: (F.length(w) > 2) & ~F.array_contains(F.array(*map(F.lit, stop_words)), w))
+    words = F.filter(F.split(F.regexp_replace(low, '"[^"]+"', ""), f"{SPACE}+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop_words))
     terms = F.concat(phrases, F.transform(words, lambda w: F.struct(F.lit(False).alias("phrase"), stems(w).alias("variants"))))
     return queries.select("query_id", F.posexplode(terms).alias("term_no", "t")).select("query_id", "term_no", F.col("t.phrase").alias("phrase"), F.explode("t.variants").alias("variant"))
 
