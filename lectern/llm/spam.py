@@ -7,7 +7,8 @@ is unnaturally regular and its recurring pairs are candidates. The second pass c
 documents, how many contain it at all: a stuffing phrase is one that recurs tightly wherever it occurs, unlike an
 idiom or an interjection. The third pass marks in every document the words of such phrases and the links and their
 markup, joins marks that stand a few words apart (words between two marks are fields of a catalogue entry or the
-filling of a sentence built around the phrase), and compares the marked part with the whole.
+filling of a sentence built around the phrase), and compares the marked part with the whole. Paragraphs that are lists
+of varied short items with hardly a function word are marked too, whatever the other texts hold.
 """
 
 from __future__ import annotations
@@ -33,6 +34,20 @@ PHRASE_SHARE, PHRASE_RATE = 0.15, 5e-5
 GLUE, EDGE = 8, 4
 #: Share of the text (without white space) that must be marked.
 SHARE = 0.5
+#: A list of terms: so many words and items at least, most words in items of at most so many words, so few function words
+#: and words with digits, so many distinct items.
+LIST_WORDS, LIST_ITEMS, ITEM_WORDS, IN_ITEMS = 12, 8, 4, 0.6
+FUNCTION_SHARE, DIGIT_SHARE, DISTINCT_SHARE = 0.1, 0.3, 0.5
+#: A text more than half of which is such a list holds no larger share of function words.
+MOST_FUNCTION = 0.35
+#: Function words of the languages of the documents.
+FUNCTION_WORDS = frozenset(
+    """the of and to in a is that it for was on with as be by at from are this not or have an they which were had but we his her
+    she he i you their there been has would will who when what no if
+    der die das und zu den von mit ist des auf für im dem nicht ein eine als auch es er sie war wie bei oder nach aus sich wird hat daß dass um so ich
+    le la les de du et à un une en est que qui dans pour par sur pas au il elle se ce sont avec plus ou ne son sa ses était
+    el los las y del por con para su al lo como más o fue""".split()
+)
 
 #: Stands for the missing follower in the code of a word alone.
 ALONE = 0xFFFFFFFF
@@ -40,6 +55,60 @@ _WORD = re.compile(r"\w+")
 _LINK = re.compile(r"#[^\W\d]\w+|<[^<>]{0,300}>|\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>()\[\]|,;]+|[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})/[^\s<>()\[\]|,;]*")
 
 
+_ITEM = re.compile(r"[,;|/>•·:=\t\n]+")
+#: Lines that belong to a reference list, an index or contents table, or a transcript.
+_REFERENCE = re.compile(r"\(\d{4}[a-z]?\)|\b\d+\s*:\s*\d+\s*[-–]\s*\d+|\b(?:1[5-9]|20)\d\d\b\S?\s*\d+\s*\(\d+\)")
+_ENTRY = re.compile(r"(?:[,\t]|\.{2,}|\s{2,}|…)\s*\d{1,4}(?:[-–]\d+)?\s*$|;\s*see(?:\s+also)?\b", re.IGNORECASE)
+_SPEAKER = re.compile(r"\s*([^\W\d][\w.' -]{0,30}):\s+\S.*[.?!…]\W*$")
+_GLOSS = re.compile(r"\s*[^\W\d][\w' -]{1,40}(?::|\s[-–—])\s+(?:\S+\s+){3,}\S+\s*$")
+_GAP = re.compile(r"\n\s*\n")
+
+
+def _mostly(form: re.Pattern, lines: list[str]) -> bool:
+    return 2 * sum(bool(form.search(x)) for x in lines) > len(lines)
+
+
+def transcript(text: str) -> bool:
+    """Most lines are what a speaker says, and a speaker comes more than once."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    said = [m[1] for m in map(_SPEAKER.match, lines) if m]
+    return 2 * len(said) > len(lines) and len(set(said)) < len(said)
+
+
+def list_of_terms(text: str) -> bool:
+    """Short varied items between separators with hardly a function word, unless they are an index, references, a glossary or a transcript."""
+    low = text.lower()
+    words = _WORD.findall(low)
+    n = len(words)
+    if n < LIST_WORDS or sum(w in FUNCTION_WORDS for w in words) > FUNCTION_SHARE * n or sum(not w.isalpha() for w in words) > DIGIT_SHARE * n:
+        return False
+    items = [tuple(w) for i in _ITEM.split(low) if (w := _WORD.findall(i))]
+    if len(items) < LIST_ITEMS or len(set(items)) < DISTINCT_SHARE * len(items) or sum(len(i) for i in items if len(i) <= ITEM_WORDS) < IN_ITEMS * n:
+        return False
+    # A heading says nothing of the form of the lines below it.
+    lines = [x for x in text.split("\n") if x.strip()]
+    lines = lines[1:] if len(lines) > 1 and not _ITEM.search(lines[0].strip()) else lines
+    forms = [_REFERENCE, _ENTRY] + [_GLOSS] * (len(lines) > 1)
+    return not any(_mostly(f, lines) for f in forms) and not transcript(text)
+
+
+def _lists(text: str) -> list[tuple[int, int]]:
+    """Where the lists of terms lie: the whole text, or paragraphs of it."""
+    if list_of_terms(text):
+        return [(0, len(text))]
+    ends = [(m.start(), m.end()) for m in _GAP.finditer(text)]
+    blocks = list(zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text)], strict=True))
+    return [(a, b) for a, b in blocks if len(blocks) > 1 and list_of_terms(text[a:b])]
+
+
+def _few_function_words(word: np.ndarray, sizes: np.ndarray, ids: dict[str, int]) -> list[int]:
+    """Numbers of the texts with so few function words that half of them may be lists."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(word)]
+    known = np.array([ids[w] for w in FUNCTION_WORDS if w in ids], np.int64)
+    held = np.bincount(owner[np.isin(word >> 32, known)], minlength=len(sizes))
+    return np.flatnonzero((sizes >= LIST_WORDS) & (held <= MOST_FUNCTION * sizes)).tolist()
+
+
 def _pairs(texts: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts in a row: for each word but the last a code of it and its follower, the number of the text they
     lie in (-1 across texts), and a code of the word alone; and the number of words of each text."""
@@ -127,7 +196,7 @@ def stuffing_phrases(texts: DataFrame) -> set[str]:
 
 
 def marked_share(text: str, phrases: set[str]) -> float:
-    """Share of the text's characters, without white space, that are stuffing, links or what stands between them."""
+    """Share of the text's characters, without white space, that are stuffing, links, lists of terms or what stands between them."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -147,7 +216,8 @@ def marked_share(text: str, phrases: set[str]) -> float:
             spans.append((start, end))
             marks.append(True)
             at = end
-    on = [k for k, m in enumerate(marks) if m]
+    lists = _lists(low)
+    on = [k for k, m in enumerate(marks) if m or any(a <= spans[k][0] < b for a, b in lists)]
     if not on:
         return 0.0
     first, last = on[0], on[-1]
@@ -177,10 +247,11 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: fl
         phrases = shared.value
         for batch in small_batches(batches):
             texts, ids = batch.column(1).to_pylist(), {}
-            pair, of, word, _ = _pairs(texts, ids)
+            pair, of, word, sizes = _pairs(texts, ids)
             known = _ids_of(phrases, ids)
             maybe = set(of[np.isin(pair, known) | np.isin(word, known)].tolist())
             maybe.update(k for k, t in enumerate(texts) if "/" in t or "www." in t or "#" in t)
+            maybe.update(_few_function_words(word, sizes, ids))
             got = [(k, s) for k in sorted(maybe - {-1}) if (s := marked_share(texts[k], phrases)) > share]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in got], pa.int64())), pa.array([s for _, s in got], pa.float64())], names=["key", "marked"])
 

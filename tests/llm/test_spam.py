@@ -43,3 +43,20 @@ def test_share_of_a_text():
     assert spam.marked_share("Calm app, calm app; calm app", phrases) == 1.0
     assert spam.marked_share("nothing here", phrases) == 0.0
     assert spam.marked_share("https://a.test/b", set()) == 1.0
+
+
+def test_lists_of_varied_nouns(spark):
+    """A list that holds no phrase of other texts and no link; forms of ordinary lists aren't spam."""
+    nouns = "poster flexibility house lamp kettle carpet mirror drawer candle basket cushion blanket teapot ladder saucer hammock".split()
+    tags = "keywords=grief journal;marriage retreat; tags: family tree poster, " + ", ".join(nouns) + " / category > garden tools"
+    rows = [
+        (1, tags),
+        (2, "The letter was in the drawer when we came. " + "\n\n" + tags),
+        (3, "The letter was in the drawer of the house, and it is not clear who put it there for us. " * 6 + "\n\n" + tags),
+        (4, "Index\n" + "\n".join(f"{n}, {k}; see also {m}" for k, (n, m) in enumerate(zip(nouns, nouns[1:], strict=False)))),
+        (5, "References\n\nAnders, G. (1985). Ancient Tolerance: A Telephone Study. Systems Review 2:197-398. https://tolerance.test/article/4500"),
+        (6, "\n".join(f"{'Ann' if k % 2 else 'Bob'}: {n.title()}, {m}." for k, (n, m) in enumerate(zip(nouns, nouns[1:], strict=False)))),
+        (7, "\n".join(f"{n}: large wooden thing, kept indoors usually" for n in nouns)),
+    ]
+    got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {1, 2}
