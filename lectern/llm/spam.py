@@ -3,9 +3,10 @@
 Prose repeats its words at irregular and long distances. Stuffed pages repeat whole phrases after two to four
 words, again and again. The first pass compares the sequence of word pairs of every document with itself at short
 lags (a positional autocorrelation over a lag window); where a noticeable share of the words recurs so, the text
-is unnaturally regular and its recurring pairs are candidates. The second pass counts for each candidate, over all
-documents, how many contain it at all: a stuffing phrase is one that recurs tightly wherever it occurs, unlike an
-idiom or an interjection. The third pass marks in every document the words of such phrases and the links and their
+is unnaturally regular and its recurring pairs mark it, and are candidates for other texts. The second pass counts for
+each candidate, over all documents, how many contain it at all: a stuffing phrase is one that recurs tightly wherever it
+occurs, unlike an idiom or an interjection. Candidates and phrases are tables; a bit map of fixed size only spares what
+can't meet them in the join. The third pass marks in every document the words of such phrases and the links and their
 markup, joins marks that stand a few words apart (words between two marks are fields of a catalogue entry or the
 filling of a sentence built around the phrase), and compares the marked part with the whole. Paragraphs that are lists
 of varied short items with hardly a function word are marked too, whatever the other texts hold.
@@ -14,6 +15,7 @@ of varied short items with hardly a function word are marked too, whatever the o
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -21,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.common import small_batches, spread
+from lectern.common import materialize, small_batches, spread
 
 #: Distances in words between the starts of two equal word pairs that count as tight.
 LAGS = (2, 3, 4)
 #: A text is unnaturally regular if this share of its words lies in pairs that recur tightly.
 REGULAR = 0.2
-#: A pair or word is a stuffing phrase if it recurs in regular texts in this share of the documents that contain it, and
-#: there are this many such texts for each document of the table, and two at least.
-PHRASE_SHARE, PHRASE_RATE = 0.15, 5e-5
+#: A pair or word is a stuffing phrase of other texts if it recurs in regular texts in this share of the documents that
+#: contain it, and there are so many such texts, whatever the size of the table.
+PHRASE_SHARE, PHRASE_TEXTS = 0.15, 2
+#: A pair marks its own text if it stands there tightly so often; once repeated may be chance in a short text.
+OWN_TIMES = 3
+#: Bits of the map of phrases. More phrases only let more through to the exact join.
+PHRASE_BITS = 1 << 24
 #: Unmarked words between two marks that still belong to the marked stretch, and at either end of a text.
 GLUE, EDGE = 8, 4
 #: Share of the text (without white space) that must be marked.
@@ -75,6 +81,12 @@ def transcript(text: str) -> bool:
     return 2 * len(said) > len(lines) and len(set(said)) < len(said)
 
 
+def ordinary(text: str) -> bool:
+    """A transcript, an index or references, which recur regularly by their form."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    return _mostly(_REFERENCE, lines) or _mostly(_ENTRY, lines) or transcript(text)
+
+
 def list_of_terms(text: str) -> bool:
     """Short varied items between separators with hardly a function word, unless they are an index, references, a glossary or a transcript."""
     low = text.lower()
@@ -148,6 +160,30 @@ def _counted(pair: np.ndarray, of: np.ndarray, ids: dict[str, int]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([_name(p, names) for p in found.tolist()], pa.string()), pa.array(docs, pa.int64())], names=["phrase", "docs"])
 
 
+def _regular(texts: list[str], pair: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that recur tightly in unnaturally regular texts, and which texts these are."""
+    at = _tight(pair, of)
+    words = np.unique(np.concatenate([at, at + 1]))
+    owner = np.append(of, -1)[words]
+    owner = np.where(owner < 0, of[words - 1], owner)
+    regular = np.bincount(owner[owner >= 0], minlength=len(texts)) >= REGULAR * np.maximum(sizes, 1)
+    for k in np.unique(of[at[regular[of[at]]]]):
+        regular[k] = not ordinary(texts[k])
+    return at[regular[of[at]]], regular
+
+
+def _own_phrases(texts: list[str], pair: np.ndarray, of: np.ndarray, sizes: np.ndarray, ids: dict[str, int]) -> dict[int, set[str]]:
+    """The tightly recurring pairs of each unnaturally regular text that name something."""
+    at, _ = _regular(texts, pair, of, sizes)
+    names, own = list(ids), {}
+    found, times = np.unique(np.stack([of[at], pair[at]], 1), axis=0, return_counts=True)
+    for k, p in found[times >= OWN_TIMES].tolist():
+        both = names[p >> 32], names[p & ALONE]
+        if any(w.isalpha() and w not in FUNCTION_WORDS for w in both):
+            own.setdefault(k, set()).add(" ".join(both))
+    return own
+
+
 def regular_pairs(texts: DataFrame) -> DataFrame:
     """``phrase, docs``: pairs and words that recur tightly in unnaturally regular texts of column ``t``, with the number of these."""
 
@@ -155,44 +191,59 @@ def regular_pairs(texts: DataFrame) -> DataFrame:
         for batch in small_batches(batches):
             rows, ids = batch.column(0).to_pylist(), {}
             pair, of, word, sizes = _pairs(rows, ids)
-            at = _tight(pair, of)
-            words = np.unique(np.concatenate([at, at + 1]))
-            owner = np.append(of, -1)[words]
-            owner = np.where(owner < 0, of[words - 1], owner)
-            regular = np.bincount(owner[owner >= 0], minlength=len(rows)) >= REGULAR * np.maximum(sizes, 1)
-            at, one = at[regular[of[at]]], _tight(word, of)
+            at, regular = _regular(rows, pair, of, sizes)
+            one = _tight(word, of)
             one = one[regular[of[one]]]
             yield _counted(np.concatenate([pair[at], word[one]]), np.concatenate([of[at], of[one]]), ids)
 
     return texts.mapInArrow(run, "phrase string, docs bigint").groupBy("phrase").agg(F.sum("docs").alias("docs"))
 
 
-def containing(texts: DataFrame, phrases: set[str]) -> DataFrame:
-    """``phrase, docs``: in how many texts of column ``t`` each of the given pairs and words occurs."""
-    shared = texts.sparkSession.sparkContext.broadcast(phrases)
+def _bits_of(code: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+    """The bit of each pair or word in the map of phrases."""
+    known = np.fromiter((zlib.crc32(w.encode()) for w in ids), np.int64, len(ids))
+    second = code & ALONE
+    return (known[code >> 32] * 31 + np.where(second == ALONE, 0, known[np.where(second == ALONE, 0, second)])) % PHRASE_BITS
+
+
+def _bit_map(phrases: DataFrame) -> np.ndarray:
+    """The packed map of the bits of ``phrase``, put together by Spark in blocks of 4 KB."""
+    words = F.split("phrase", " ")
+    bit = (F.crc32(words[0]) * 31 + F.crc32(F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))) % PHRASE_BITS + 1
+    blocks = phrases.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    packed = np.zeros((PHRASE_BITS // 32768, 4096), np.uint8)
+    for r in blocks.toLocalIterator():
+        packed[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return packed.reshape(-1)
+
+
+def _mapped(code: np.ndarray, packed: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+    """Which of the pairs and words may be phrases."""
+    bit = _bits_of(code, ids)
+    return (packed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``phrase, held``: in how many texts of column ``t`` each of the given pairs and words occurs."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bit_map(phrases))
 
     def run(batches):
         for batch in small_batches(batches):
             ids: dict[str, int] = {}
             pair, of, word, _ = _pairs(batch.column(0).to_pylist(), ids)
             code, of = np.concatenate([pair, word]), np.concatenate([of, of])
-            at = np.flatnonzero(np.isin(code, _ids_of(shared.value, ids)) & (of >= 0))
+            at = np.flatnonzero(of >= 0)
+            at = at[_mapped(code[at], shared.value, ids)]
             yield _counted(code[at], of[at], ids)
 
-    return texts.mapInArrow(run, "phrase string, docs bigint").groupBy("phrase").agg(F.sum("docs").alias("docs"))
-
+    found = texts.mapInArrow(run, "phrase string, docs bigint").groupBy("phrase").agg(F.sum("docs").alias("held"))
+    return found.join(phrases.select("phrase"), "phrase", "left_semi")
 
-def _ids_of(phrases: set[str], ids: dict[str, int]) -> np.ndarray:
-    both = (p.partition(" ") for p in phrases)
-    return np.array([(ids[a] << 32) | ids.get(b, ALONE) for a, _, b in both if a in ids and (not b or b in ids)], np.int64)
 
-
-def stuffing_phrases(texts: DataFrame) -> set[str]:
-    """The phrases of the whole table. At most (mean number of tight pairs a text) / PHRASE_RATE, however many texts there are."""
-    least = max(2, PHRASE_RATE * texts.count())
-    tight = {r["phrase"]: r["docs"] for r in regular_pairs(texts).where(F.col("docs") >= least).toLocalIterator()}
-    held = {r["phrase"]: r["docs"] for r in containing(texts, set(tight)).toLocalIterator()} if tight else {}
-    return {p for p, n in tight.items() if n >= PHRASE_SHARE * held[p]}
+def stuffing_phrases(texts: DataFrame) -> DataFrame:
+    """``phrase``: the stuffing phrases of the whole table."""
+    tight = materialize(regular_pairs(texts).where(F.col("docs") >= PHRASE_TEXTS))
+    return materialize(tight.join(containing(texts, tight), "phrase").where(F.col("docs") >= PHRASE_SHARE * F.col("held")).select("phrase"))
 
 
 def marked_share(text: str, phrases: set[str]) -> float:
@@ -241,19 +292,41 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: fl
     """
     texts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where("t is not null"))
     phrases = stuffing_phrases(texts.select("t"))
-    shared = df.sparkSession.sparkContext.broadcast(phrases)
+    shared = df.sparkSession.sparkContext.broadcast(_bit_map(phrases))
+    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches):
-        phrases = shared.value
+    def maybe(batches):
+        """Texts marked enough if all phrases of the bit map are stuffing; ``t`` only where the join has to say whether they are."""
         for batch in small_batches(batches):
             texts, ids = batch.column(1).to_pylist(), {}
             pair, of, word, sizes = _pairs(texts, ids)
-            known = _ids_of(phrases, ids)
-            maybe = set(of[np.isin(pair, known) | np.isin(word, known)].tolist())
-            maybe.update(k for k, t in enumerate(texts) if "/" in t or "www." in t or "#" in t)
-            maybe.update(_few_function_words(word, sizes, ids))
-            got = [(k, s) for k in sorted(maybe - {-1}) if (s := marked_share(texts[k], phrases)) > share]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in got], pa.int64())), pa.array([s for _, s in got], pa.float64())], names=["key", "marked"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return texts.mapInArrow(run, f"key {kind}, marked double").withColumnRenamed("key", key)
+            own = _own_phrases(texts, pair, of, sizes, ids)
+            code, owner = np.concatenate([pair, word]), np.concatenate([of, of])
+            at = np.flatnonzero(owner >= 0)
+            at = at[_mapped(code[at], shared.value, ids)]
+            names, held = list(ids), {}
+            for k, p in np.unique(np.stack([owner[at], code[at]], 1), axis=0).tolist():
+                held.setdefault(k, set()).add(_name(p, names))
+            tried = held.keys() | own.keys()
+            tried.update(k for k, t in enumerate(texts) if "/" in t or "www." in t or "#" in t)
+            tried.update(k for k in _few_function_words(word, sizes, ids) if k not in tried and _lists(texts[k]))
+            out = []
+            for k in sorted(tried):
+                mine, others = own.get(k, set()), held.get(k, set())
+                if (s := marked_share(texts[k], mine | others)) > share:
+                    out.append((k, s, texts[k] if others - mine else None, list(mine), list(others - mine)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.float64(), pa.string(), strings, strings), strict=True))], names=["key", "marked", "t", "own", "held"])
+
+    def exact(batches):
+        for batch in batches:
+            keys, texts, own, known = batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))
+            got = [(k, s) for k, t in enumerate(texts) if (s := marked_share(t, {*own[k], *(known[k] or ())})) > share]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array([k for k, _ in got], pa.int64())), pa.array([s for _, s in got], pa.float64())], names=["key", "marked"])
+
+    found = materialize(texts.mapInArrow(maybe, f"key {kind}, marked double, t string, own array<string>, held array<string>").withColumn("row", F.monotonically_increasing_id()))
+    open_texts = found.where("t is not null")
+    known = open_texts.select("row", F.explode("held").alias("phrase")).join(phrases, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("known"))
+    decided = open_texts.select("row", "key", "t", "own").join(known, "row", "left").select("key", "t", "own", "known").mapInArrow(exact, f"key {kind}, marked double")
+    return found.where("t is null").select("key", "marked").unionByName(decided).withColumnRenamed("key", key)

@@ -60,3 +60,15 @@ def test_lists_of_varied_nouns(spark):
     ]
     got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {r["doc_id"] for r in got.collect()} == {1, 2}
+
+
+def test_own_keywords_in_a_large_table(spark):
+    """Keywords of a single page, and of a campaign of two pages, among more texts than one for each phrase can be asked of."""
+    rnd = random.Random(5)
+    stuffed = lambda *keys: " ".join(f"{rnd.choice(keys)}," for _ in range(30))
+    rows = [(k, prose(rnd, 1)) for k in range(61_000)]
+    rows += [(70_000, stuffed("zither repair", "zither tuning")), (70_001, stuffed("ocarina shop", "ocarina sale")), (70_002, stuffed("ocarina shop", "ocarina sale"))]
+    rows += [(70_003, "The ocarina shop of the village was cold, ocarina sale or not, and " + stuffed("ocarina shop") + " " + stuffed("ocarina sale"))]
+    rows += [(70_004, "Ann: I see.\n" * 5 + "Bob: Go on.\nBob: Go on.")]
+    got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {70_000, 70_001, 70_002, 70_003}
