@@ -1,8 +1,9 @@
 """Keyword-stuffed pages, link lists and tag lists, found by how regularly their terms recur.
 
 Prose repeats its words at irregular and long distances. Stuffed pages repeat whole phrases after two to four
-words, again and again. The first pass compares the sequence of word pairs of every document with itself at short
-lags (a positional autocorrelation over a lag window); where a noticeable share of the words recurs so, the text
+words, or whole sentences and rows of keywords at an even distance, again and again. The first pass compares the
+sequence of word pairs of every document with itself at short lags (a positional autocorrelation over a lag window) and
+takes the spread of the gaps between equal pairs at longer ones; where a noticeable share of the words recurs so, the text
 is unnaturally regular and its recurring pairs mark it, and are candidates for other texts. The second pass counts for
 each candidate, over all documents, how many contain it at all: a stuffing phrase is one that recurs tightly wherever it
 occurs, unlike an idiom or an interjection. Candidates and phrases are tables; a bit map of fixed size only spares what
@@ -29,6 +30,12 @@ from lectern.common import materialize, small_batches, spread
 LAGS = (2, 3, 4)
 #: A text is unnaturally regular if this share of its words lies in pairs that recur tightly.
 REGULAR = 0.2
+#: Longer cycles: a pair recurs evenly if it stands in a text so often, at gaps of at most so many words on average that
+#: spread by at most this share of it. A text is regular too if this share of its words lies in such pairs and at most half
+#: of these are function words.
+CYCLE_TIMES, CYCLE, CYCLE_SPREAD, CYCLE_SHARE, CYCLE_FUNCTION = 3, 48, 0.3, 0.7, 0.5
+#: One word said over and over, more than half of a text of so many words, is a search word; shorter ones are interjections.
+RUN_WORDS, RUN_LETTERS = 6, 3
 #: A pair or word is a stuffing phrase of other texts if it recurs in regular texts in this share of the documents that
 #: contain it, and there are so many such texts, whatever the size of the table.
 PHRASE_SHARE, PHRASE_TEXTS = 0.15, 2
@@ -67,6 +74,8 @@ _REFERENCE = re.compile(r"\(\d{4}[a-z]?\)|\b\d+\s*:\s*\d+\s*[-–]\s*\d+|\b(?:1[
 _ENTRY = re.compile(r"(?:[,\t]|\.{2,}|\s{2,}|…)\s*\d{1,4}(?:[-–]\d+)?\s*$|;\s*see(?:\s+also)?\b", re.IGNORECASE)
 _SPEAKER = re.compile(r"\s*([^\W\d][\w.' -]{0,30}):\s+\S.*[.?!…]\W*$")
 _GLOSS = re.compile(r"\s*[^\W\d][\w' -]{1,40}(?::|\s[-–—])\s+(?:\S+\s+){3,}\S+\s*$")
+#: Scripts without spaces between words, where a run of letters is a clause.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 _GAP = re.compile(r"\n\s*\n")
 
 
@@ -82,9 +91,10 @@ def transcript(text: str) -> bool:
 
 
 def ordinary(text: str) -> bool:
-    """A transcript, an index or references, which recur regularly by their form."""
+    """A transcript, an index, references or a glossary of different terms, which recur regularly by their form."""
     lines = [x for x in text.split("\n") if x.strip()]
-    return _mostly(_REFERENCE, lines) or _mostly(_ENTRY, lines) or transcript(text)
+    terms = [re.split(r":|\s[-–—]", x)[0] for x in lines if _GLOSS.match(x)]
+    return len(lines) > 1 and 2 * len(set(terms)) > len(lines) or _mostly(_REFERENCE, lines) or _mostly(_ENTRY, lines) or transcript(text)
 
 
 def list_of_terms(text: str) -> bool:
@@ -153,6 +163,40 @@ def _tight(pair: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.flatnonzero(on)
 
 
+def _even(pair: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Positions of pairs that recur in their text at gaps of nearly the same size, up to several dozen words."""
+    inside = np.flatnonzero(of >= 0)
+    order = inside[np.lexsort((pair[inside], of[inside]))]
+    same = np.append(False, (pair[order][1:] == pair[order][:-1]) & (of[order][1:] == of[order][:-1]))[: len(order)]
+    group = np.cumsum(~same) - 1
+    gap = np.where(same, np.diff(order, prepend=0), 0).astype(float)
+    times, total, squares = np.bincount(group), np.bincount(group, gap), np.bincount(group, gap * gap)
+    mean = total / np.maximum(times - 1, 1)
+    spread = np.sqrt(np.maximum(squares / np.maximum(times - 1, 1) - mean**2, 0))
+    return np.sort(order[((times >= CYCLE_TIMES) & (mean <= CYCLE) & (spread <= CYCLE_SPREAD * mean))[group]])
+
+
+def _words_at(at: np.ndarray, pair: np.ndarray, of: np.ndarray, ids: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each of ``n`` texts lie in the pairs at the given positions, and how many of these are function words."""
+    words = np.unique(np.concatenate([at, at + 1]))
+    owner = np.append(of, -1)[words]
+    owner = np.where(owner < 0, of[words - 1], owner)
+    code = np.append(pair >> 32, pair[-1:] & ALONE)[words]
+    known = np.isin(code, np.array([ids[w] for w in FUNCTION_WORDS if w in ids], np.int64))
+    return np.bincount(owner[owner >= 0], minlength=n), np.bincount(owner[(owner >= 0) & known], minlength=n)
+
+
+def _runs(pair: np.ndarray, sizes: np.ndarray, names: list[str]) -> list[tuple[int, str]]:
+    """Texts more than half of which is one word right after itself, with each such word."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero((pair >> 32 == pair & ALONE) & (owner[:-1] == owner[1:])) if len(pair) else np.zeros(0, np.int64)
+    long = [len(w) >= RUN_LETTERS and w.isalpha() and w not in FUNCTION_WORDS and not _UNSPACED.search(w) for w in (names[k] for k in (pair[at] >> 32).tolist())]
+    at = at[np.array(long, bool)]
+    held = np.bincount(owner[np.unique(np.concatenate([at, at + 1]))], minlength=len(sizes)) if len(at) else np.zeros(len(sizes), np.int64)
+    full = (sizes >= RUN_WORDS) & (2 * held > sizes)
+    return [(int(owner[k]), names[pair[k] >> 32]) for k in at if full[owner[k]]]
+
+
 def _counted(pair: np.ndarray, of: np.ndarray, ids: dict[str, int]) -> pa.RecordBatch:
     """``phrase, docs`` of the given pairs, each once a text."""
     names = list(ids)
@@ -160,38 +204,40 @@ def _counted(pair: np.ndarray, of: np.ndarray, ids: dict[str, int]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([_name(p, names) for p in found.tolist()], pa.string()), pa.array(docs, pa.int64())], names=["phrase", "docs"])
 
 
-def _regular(texts: list[str], pair: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that recur tightly in unnaturally regular texts, and which texts these are."""
-    at = _tight(pair, of)
-    words = np.unique(np.concatenate([at, at + 1]))
-    owner = np.append(of, -1)[words]
-    owner = np.where(owner < 0, of[words - 1], owner)
-    regular = np.bincount(owner[owner >= 0], minlength=len(texts)) >= REGULAR * np.maximum(sizes, 1)
-    for k in np.unique(of[at[regular[of[at]]]]):
-        regular[k] = not ordinary(texts[k])
-    return at[regular[of[at]]], regular
+def _regular(texts: list[str], pair: np.ndarray, of: np.ndarray, sizes: np.ndarray, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that recur tightly or evenly in unnaturally regular texts, and which texts recur tightly."""
+    tight, even, n = _tight(pair, of), _even(pair, of), len(texts)
+    regular = _words_at(tight, pair, of, ids, n)[0] >= REGULAR * np.maximum(sizes, 1)
+    held, function = _words_at(even, pair, of, ids, n)
+    cyclic = (held >= CYCLE_SHARE * np.maximum(sizes, 1)) & (function <= CYCLE_FUNCTION * held)
+    for k in np.unique(of[np.concatenate([tight[regular[of[tight]]], even[cyclic[of[even]]]])]):
+        if ordinary(texts[k]):
+            regular[k] = cyclic[k] = False
+    return np.unique(np.concatenate([tight[regular[of[tight]]], even[cyclic[of[even]]]])), regular
 
 
 def _own_phrases(texts: list[str], pair: np.ndarray, of: np.ndarray, sizes: np.ndarray, ids: dict[str, int]) -> dict[int, set[str]]:
-    """The tightly recurring pairs of each unnaturally regular text that name something."""
-    at, _ = _regular(texts, pair, of, sizes)
+    """The recurring pairs of each unnaturally regular text that name something, and the word that fills a text."""
+    at, _ = _regular(texts, pair, of, sizes, ids)
     names, own = list(ids), {}
     found, times = np.unique(np.stack([of[at], pair[at]], 1), axis=0, return_counts=True)
     for k, p in found[times >= OWN_TIMES].tolist():
         both = names[p >> 32], names[p & ALONE]
         if any(w.isalpha() and w not in FUNCTION_WORDS for w in both):
             own.setdefault(k, set()).add(" ".join(both))
+    for k, w in _runs(pair, sizes, names):
+        own.setdefault(k, set()).add(w)
     return own
 
 
 def regular_pairs(texts: DataFrame) -> DataFrame:
-    """``phrase, docs``: pairs and words that recur tightly in unnaturally regular texts of column ``t``, with the number of these."""
+    """``phrase, docs``: pairs and words that recur tightly, and pairs that recur evenly, in unnaturally regular texts of column ``t``, with the number of these."""
 
     def run(batches):
         for batch in small_batches(batches):
             rows, ids = batch.column(0).to_pylist(), {}
             pair, of, word, sizes = _pairs(rows, ids)
-            at, regular = _regular(rows, pair, of, sizes)
+            at, regular = _regular(rows, pair, of, sizes, ids)
             one = _tight(word, of)
             one = one[regular[of[one]]]
             yield _counted(np.concatenate([pair[at], word[one]]), np.concatenate([of[at], of[one]]), ids)
@@ -287,7 +333,7 @@ def marked_share(text: str, phrases: set[str]) -> float:
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """``key, marked``: the documents of which more than ``share`` is stuffing, a list of links or of tags.
 
-    Null, empty and blank texts are never spam; a text without words or with a single repeated word isn't either.
+    Null, empty and blank texts are never spam; a text without words or with a single repeated interjection isn't either.
     Repeated rows come out repeated, null keys are kept, other columns are ignored. An empty table gives none.
     """
     texts = spread(df.select(F.col(key).alias("key"), F.col(text).alias("t")).where("t is not null"))

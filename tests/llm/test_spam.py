@@ -72,3 +72,20 @@ def test_own_keywords_in_a_large_table(spark):
     rows += [(70_004, "Ann: I see.\n" * 5 + "Bob: Go on.\nBob: Go on.")]
     got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {r["doc_id"] for r in got.collect()} == {70_000, 70_001, 70_002, 70_003}
+
+
+def test_long_cycles_and_single_words(spark):
+    """A sentence or a row of keywords over and over, and one search word; a refrain is no more than a part of its text."""
+    rnd = random.Random(6)
+    rows = [(k, prose(rnd, 12)) for k in range(20)]
+    rows += [
+        (100, "\n".join(["cheap running shoes discount outlet leather boots sale"] * 8)),
+        (101, " ".join(["Our quiet clinic in the old town helps every tired couple find calm evenings again."] * 6)),
+        (102, "shoes " * 40),
+        (103, "We met at the door. Shoes shoes shoes shoes shoes shoes shoes shoes"),
+        (104, "ha ha ha ha ha ha ha"),
+        (105, prose(rnd, 12) + " Shoes shoes shoes."),
+        (106, "\n".join(f"{rnd.choice(NOUNS).title()} and {rnd.choice(NOUNS)} were {k} in all, and {rnd.choice(NOUNS)}s {'stood in long rows while we counted them'.split()[k % 8]} there.\nSo the evening came." for k in range(9))),
+    ]
+    got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {100, 101, 102, 103}
