@@ -53,7 +53,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, n: int = 5,
         band = rows if low is None else rows.where(F.col("_s") >= low)
         band = band if above is None else band.where(F.col("_s") < above)
         if kept:
-            filled = reduce(DataFrame.unionByName, kept).groupBy("_g").count().where(F.col("count") >= n).select("_g")
+            filled = reduce(DataFrame.unionByName, kept).groupBy("_g").agg(F.count_distinct("_t").alias("count")).where(F.col("count") >= n).select("_g")
             band = band.join(filled, "_g", "left_anti")
         band = band.groupBy("_g", "_t").agg(F.max("_s").alias("_s"))
         kept.append(materialize(_best(band, "_g", "_s", "_t", n)))

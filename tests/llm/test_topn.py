@@ -33,3 +33,11 @@ def test_clashing_names_and_empty(spark):
     assert band_edges(df.where("false"), "_s") == []
     with pytest.raises(ValueError):
         top_n_per_group(df, "_g", "_s", "_t", 0)
+
+
+def test_tie_with_two_scores(spark):
+    """A tie stored with scores of two bands fills one place of its group."""
+    rows = [("a", k, 9.0) for k in (1, 2, 3, 4)] + [("a", 1, 5.0), ("a", 5, 1.0)] + [("b", k, s) for k, s in enumerate([8.5, 5.0, 5.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "name string, key bigint, score double")
+    got = top_n_per_group(df, "name", "score", "key", 5, shares=(0.3, 0.5))
+    assert sorted((r["name"], r["key"]) for r in got.collect()) == brute(rows, 5)
