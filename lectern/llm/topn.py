@@ -1,23 +1,25 @@
 """Top N rows of every group by descending score bands.
 
-The score axis is cut into bands at approximate quantiles that widen from the top, and the bands are worked
-through from the highest. Rows of a group that already has N rows are left out of the following bands by an
-anti-join, so a group with millions of rows is touched only in the few bands that hold its best ones. Within a
-band every group keeps its best N rows (a salted ranking, then a ranking of the survivors), and the last
-ranking over the survivors of all bands settles the bands where groups were completed.
+The score axis is cut into bands at approximate quantiles that widen from the top. One pass over the table puts every
+row into its band and keeps, of each group and band, the best rows only: first inside every task, before anything is
+shuffled, then for shares of the tasks (a salt), so that no task sees more than a few rows of a group for each task of
+its share, however large the group. Counted from the highest band down, a group is filled where the bands above hold its
+N rows; an anti-join takes it out of all further bands, and a last ranking with the tie rule settles the band where it
+was completed.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.common import materialize
 
 #: Shares of all rows, from the top, at which the bands end.
 BAND_SHARES = (0.01, 0.04, 0.16, 0.5)
+#: Shares of the tasks whose rows of a group are merged side by side.
 SALTS = 32
 
 
@@ -27,12 +29,24 @@ def band_edges(df: DataFrame, score: str, shares=BAND_SHARES) -> list[float]:
     return sorted(set(got or []), reverse=True)
 
 
-def _best(df: DataFrame, group: str, score: str, tie: str, n: int) -> DataFrame:
-    """The first ``n`` rows of each group. A salted pass first, so no task sees more than ``n * SALTS`` rows of a group."""
-    order = [F.desc(score), F.asc(tie)]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
-    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).where(F.col("_r") <= n)
-    return few.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).select(group, tie, score)
+def _band(score: Column, edges: list[float]) -> Column:
+    """The number of a score's band, 0 for the highest."""
+    return reduce(lambda out, e: out.when(score >= e[1], F.lit(e[0])), enumerate(edges), F).otherwise(F.lit(len(edges))) if edges else F.lit(0)
+
+
+def _order(*within: str):
+    return Window.partitionBy(*within).orderBy(F.desc("_s"), F.asc("_t"))
+
+
+def _ranked(df: DataFrame, n: int, *within: str) -> DataFrame:
+    """The rows with the ``n`` best pairs of score and tie in each partition, with their rank; equal rows share a rank."""
+    return df.withColumn("_r", F.dense_rank().over(_order(*within))).where(F.col("_r") <= n)
+
+
+def _best(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` different ties of each group, each with its highest score, of rows that are few for each group."""
+    once = df.groupBy("_g", "_t").agg(F.max("_s").alias("_s"))
+    return once.withColumn("_r", F.row_number().over(_order("_g"))).where(F.col("_r") <= n).drop("_r")
 
 
 def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, n: int = 5, shares=BAND_SHARES) -> DataFrame:
@@ -47,16 +61,22 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, n: int = 5,
     rows = df.select(F.col(group).alias("_g"), F.col(tie).alias("_t"), F.col(score).cast("double").alias("_s"))
     rows = rows.where(F.col("_g").isNotNull() & F.col("_t").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
     edges = band_edges(rows, "_s", shares)
-    kept: list[DataFrame] = []
-    above = None
-    for low in [*edges, None]:
-        band = rows if low is None else rows.where(F.col("_s") >= low)
-        band = band if above is None else band.where(F.col("_s") < above)
-        if kept:
-            filled = reduce(DataFrame.unionByName, kept).groupBy("_g").agg(F.count_distinct("_t").alias("count")).where(F.col("count") >= n).select("_g")
-            band = band.join(filled, "_g", "left_anti")
-        band = band.groupBy("_g", "_t").agg(F.max("_s").alias("_s"))
-        kept.append(materialize(_best(band, "_g", "_s", "_t", n)))
-        above = low
-    every = reduce(DataFrame.unionByName, kept).groupBy("_g", "_t").agg(F.max("_s").alias("_s"))
-    return _best(every, "_g", "_s", "_t", n).select(F.col("_g").alias(group), F.col("_t").alias(tie), F.col("_s").alias(score))
+    banded = rows.withColumn("_b", _band(F.col("_s"), edges)).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    # One rank more than wanted shows where rows were cut off.
+    few = materialize(_ranked(banded, n + 1, "_g", "_b", "_salt"))
+    left = few.where(F.col("_r") <= n).select("_g", "_t", "_s", "_b")
+    # Places taken in every band, a tie in the band of its highest score; a group is filled where those above make n.
+    places = left.groupBy("_g", "_t").agg(F.min("_b").alias("_b")).groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    bands = places.select("_g").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
+    above = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    filled = bands.join(places, ["_g", "_b"], "left").withColumn("_above", above).where(F.col("_above") >= n).select("_g", "_b")
+    kept = left.join(filled, ["_g", "_b"], "left_anti").select("_g", "_t", "_s")
+    # A tie stored with several scores takes several ranks; where that may have cut off others, the group is done apart.
+    crowded = few.groupBy("_g", "_b", "_salt").agg(F.max("_r").alias("_m"), F.count_distinct(F.when(F.col("_r") <= n, F.col("_t"))).alias("_d"))
+    crowded = crowded.where((F.col("_m") > n) & (F.col("_d") < n)).select("_g").distinct()
+    if crowded.limit(1).count():
+        crowded = materialize(crowded)
+        apart = rows.join(crowded, "_g", "left_semi").groupBy("_g", "_t").agg(F.max("_s").alias("_s"))
+        apart = _ranked(apart.withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(SALTS))), n, "_g", "_salt").select("_g", "_t", "_s")
+        kept = kept.join(crowded, "_g", "left_anti").unionByName(apart)
+    return _best(kept, n).select(F.col("_g").alias(group), F.col("_t").alias(tie), F.col("_s").alias(score))

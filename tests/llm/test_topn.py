@@ -41,3 +41,22 @@ def test_tie_with_two_scores(spark):
     df = spark.createDataFrame(rows, "name string, key bigint, score double")
     got = top_n_per_group(df, "name", "score", "key", 5, shares=(0.3, 0.5))
     assert sorted((r["name"], r["key"]) for r in got.collect()) == brute(rows, 5)
+
+
+def test_crowded_group_and_repeated_key(spark):
+    """One tie under many scores doesn't push others out, and a key with two scores in one band fills one place."""
+    rows = [("a", 1, 0.9 - k / 1000) for k in range(40)] + [("a", k, k / 100) for k in range(2, 9)]
+    rows += [("b", 5001, 0.999), ("b", 5001, 0.97), ("b", 5002, 0.2)] + [("f", k, k / 1000) for k in range(1000)]
+    df = spark.createDataFrame(rows, "name string, key bigint, score double").repartition(3)
+    for n in (2, 5):
+        got = top_n_per_group(df, "name", "score", "key", n)
+        assert sorted((r["name"], r["key"]) for r in got.collect()) == brute(rows, n)
+
+
+def test_hot_group_is_cut_down_before_the_shuffle(spark):
+    """The rows of a group leave a task as its few best of every band, whatever the group's size."""
+    df = spark.range(200_000, numPartitions=8).selectExpr("if(id % 10 = 0, 'hot', concat('g', id % 5000)) name", "id key", "hash(id) % 1000 / 1000D score")
+    got = top_n_per_group(df, "name", "score", "key", 5)
+    assert "Range" not in got._jdf.queryExecution().toString()  # only the written survivors are left to rank
+    top = df.selectExpr("name", "key", "row_number() over (partition by name order by score desc, key) r").where("r <= 5")
+    assert sorted(map(tuple, got.select("name", "key").collect())) == sorted(map(tuple, top.select("name", "key").collect()))
