@@ -2,8 +2,8 @@
 
 The score axis is cut into bands at approximate quantiles that widen from the top. One pass over the table puts every
 row into its band and keeps, of each group and band, the best rows only: first inside every task, before anything is
-shuffled, then for shares of the tasks (a salt), so that no task sees more than a few rows of a group for each task of
-its share, however large the group. Counted from the highest band down, a group is filled where the bands above hold its
+shuffled, then for every few hundred tasks (a salt), so that no task sees more than a few rows of a group for each of
+these, however large the group. Counted from the highest band down, a group is filled where the bands above hold its
 N rows; an anti-join takes it out of all further bands, and a last ranking with the tie rule settles the band where it
 was completed.
 """
@@ -19,8 +19,8 @@ from lectern.common import materialize
 
 #: Shares of all rows, from the top, at which the bands end.
 BAND_SHARES = (0.01, 0.04, 0.16, 0.5)
-#: Shares of the tasks whose rows of a group are merged side by side.
-SALTS = 32
+#: Tasks whose rows of a group are merged by one task, and shares of a group that is done apart.
+MERGED_TASKS, SALTS = 500, 32
 
 
 def band_edges(df: DataFrame, score: str, shares=BAND_SHARES) -> list[float]:
@@ -61,7 +61,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, n: int = 5,
     rows = df.select(F.col(group).alias("_g"), F.col(tie).alias("_t"), F.col(score).cast("double").alias("_s"))
     rows = rows.where(F.col("_g").isNotNull() & F.col("_t").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
     edges = band_edges(rows, "_s", shares)
-    banded = rows.withColumn("_b", _band(F.col("_s"), edges)).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    banded = rows.withColumn("_b", _band(F.col("_s"), edges)).withColumn("_salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
     # One rank more than wanted shows where rows were cut off.
     few = materialize(_ranked(banded, n + 1, "_g", "_b", "_salt"))
     left = few.where(F.col("_r") <= n).select("_g", "_t", "_s", "_b")
