@@ -6,6 +6,8 @@ import sys
 import unicodedata
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -89,3 +91,14 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.ones(len(joint), bool)
     new[1:] = (joint[1:] != joint[:-1]) | (of[1:] != of[:-1])
     return joint[new], of[new], counts
+
+
+def packed_bits(bits: DataFrame, size: int) -> np.ndarray:
+    """A map of ``size`` bits (a multiple of 32,768), packed from the least bit of each byte, with the bits of column ``bit``
+    set. Spark puts it together in blocks of 4 KB."""
+    place = F.col("bit") + 1
+    blocks = bits.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    packed = np.zeros((size // 32768, 4096), np.uint8)
+    for r in blocks.toLocalIterator():
+        packed[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return packed.reshape(-1)
