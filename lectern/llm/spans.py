@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.common import small_batches, spread
+from lectern.common import materialize, small_batches, spread
 from lectern.llm.points import U, code_points, mix, prefix_sums, span_hash
 
+#: Names that stand so often in a sample of so many texts, under two ids at least, are known to be shared beforehand, up to
+#: so many of them: those of a notice that stands in a large part of all texts.
+SAMPLE_TEXTS, HOT_TIMES, HOT_NAMES = 20_000, 8, 1 << 17
+
 
 def rounds_for(length: int) -> tuple[list[int], int, int, int]:
     """Bounds of the symbol sizes by round, how far an anchor must be from the start and from the end of a copy, and
@@ -85,9 +89,20 @@ def anchors(flat: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     return start[dense[start] == highest[start]]
 
 
-def _seeds(docs: DataFrame, length: int) -> DataFrame:
-    """``seed, id, pos``: a hash of the surroundings of every anchor, as long as they lie within every copy."""
+def _named(name: np.ndarray, ids: pa.Array, pos: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """``name, id, pos`` of the places with these names. A place whose name is known to be shared needs no other to be found:
+    its position is given as ``-1 - pos`` and its name is replaced by one of its own, so that such places spread evenly."""
+    if len(hot) and len(name):
+        known = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+        own = mix(mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U)) + pos.astype(U))
+        name, pos = np.where(known, own, name), np.where(known, -1 - pos, pos)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), ids, pa.array(pos.astype(np.int32))], names=["name", "id", "pos"])
+
+
+def _seeds(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """``name, id, pos``: a hash of the surroundings of every anchor, as long as they lie within every copy."""
     _, margin, after, _ = rounds_for(length)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in small_batches(batches, 4_000_000):
@@ -99,15 +114,15 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
             inside = (at - margin >= begin[of]) & (at + after <= begin[of + 1])
             at, of = at[inside], of[inside]
             seed = span_hash(prefix_sums(flat), at - margin, at + after)
-            ids = batch.column(0).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), ids, pa.array((at - begin[of]).astype(np.int32))], names=["name", "id", "pos"])
+            yield _named(seed, batch.column(0).take(pa.array(of)), at - begin[of], shared.value)
 
     return docs.mapInArrow(run, "name bigint, id bigint, pos int")
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
+def _windows(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     """``name, id, pos``: a hash of every window of ``length`` that holds one of the marked places ``at`` of its text."""
     _, margin, after, _ = rounds_for(length)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in small_batches(batches, 2_000_000):
@@ -123,21 +138,29 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
             start = np.flatnonzero(np.cumsum(step[:-1]) > 0)
             of = np.searchsorted(begin, start, "right") - 1
             name = span_hash(prefix_sums(flat), start, start + length)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(pa.array(of)), pa.array((start - begin[of]).astype(np.int32))], names=["name", "id", "pos"])
+            yield _named(name, batch.column(0).take(pa.array(of)), start - begin[of], shared.value)
 
     return docs.mapInArrow(run, "name bigint, id bigint, pos int")
 
 
+def _hot_names(docs: DataFrame, share: float, length: int, name_places) -> np.ndarray:
+    """Ascending names that ``name_places`` finds often in a sample of the texts, under two ids. They are surely shared."""
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))) if share < 1 else docs
+    often = name_places(sample, length, np.zeros(0, U)).groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    top = often.where((F.col("a") < F.col("b")) & (F.col("n") >= HOT_TIMES)).orderBy(F.desc("n"), "name").limit(HOT_NAMES)
+    return np.sort(top.select("name").toPandas()["name"].to_numpy(np.int64).view(U))
+
+
 def _in_two(named: DataFrame) -> DataFrame:
-    """The rows whose name occurs under two ids. No name's rows are gathered.
+    """The rows whose name occurs under two ids, or is known to. No name's rows are gathered.
 
     The rows are made and shuffled once for both uses: the conditions that always hold keep their columns and
     filters alike, so that Spark reuses the exchange.
     """
     rows = named.where("name is not null and id is not null and pos is not null").repartition("name")
-    both = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("pos").alias("p"))
-    shared = both.where("a < b and p >= 0").select("name")
-    return rows.join(shared, "name").select("id", "pos")
+    both = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("pos").alias("p"))
+    shared = both.where("a < b or p < 0").select("name")
+    return rows.join(shared, "name").select("id", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
 
 
 def shared_spans(df: DataFrame, key: str = "id", text: str = "text", length: int = 200) -> DataFrame:
@@ -151,9 +174,11 @@ def shared_spans(df: DataFrame, key: str = "id", text: str = "text", length: int
     if length < 1:
         raise ValueError("length must be positive")
     docs = spread(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.col(key).isNotNull() & (F.length(text) >= length)))
-    marks = _in_two(_seeds(docs, length)).groupBy("id").agg(F.collect_set("pos").alias("at"))
+    share = min(1.0, SAMPLE_TEXTS / max(df.count(), 1))
+    marks = _in_two(_seeds(docs, length, _hot_names(docs, share, length, _seeds))).groupBy("id").agg(F.collect_set("pos").alias("at"))
     marked = docs.join(marks, "id").groupBy("id").agg(F.first("t").alias("t"), F.first("at").alias("at"))
-    starts = _in_two(_windows(marked, length)).distinct()
+    marked = materialize(marked)
+    starts = _in_two(_windows(marked, length, _hot_names(marked, share, length, _windows))).distinct()
     by_pos = Window.partitionBy("id").orderBy("pos")
     runs = starts.withColumn("new", F.coalesce(F.col("pos") > F.lag("pos").over(by_pos) + length, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by_pos)).groupBy("id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))

@@ -23,8 +23,9 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [1, 5, 20, 50, 200])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "often"), [(1, 8), (5, 2), (50, 8), (200, 3)])
+def test_against_brute_force(spark, monkeypatch, length, often):
+    monkeypatch.setattr(spans, "HOT_TIMES", often)
     rnd = random.Random(length)
     letters = "ab" if length > 5 else "abcdefghij"
     notices = ["".join(rnd.choice(letters + "é😀 ") for _ in range(length * 2 + rnd.randint(0, 40))) for _ in range(5)]
@@ -48,3 +49,17 @@ def test_amount(spark):
     got = {r["id"]: (r["shared"], round(r["share"], 3)) for r in spans.shared_amount(df, length=6).collect()}
     assert got == {1: (8, 0.727), 2: (8, 1.0), 3: (0, 0.0), 4: (0, 0.0)}
     assert spans.shared_spans(df.where("false")).count() == 0
+
+
+def test_a_notice_in_many_texts_is_spread(spark):
+    """The places of a span that stands in very many texts have names of their own, so that no task gets them all."""
+    rnd = random.Random(1)
+    notice = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = [(k, "".join(rnd.choice("xyz ") for _ in range(100)) + notice) for k in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    hot = spans._hot_names(df, 0.5, 200, spans._seeds)
+    assert len(hot)
+    named = spans._seeds(df, 200, hot).groupBy("name").count()
+    assert named.agg({"count": "max"}).first()[0] <= 8
+    got = {tuple(r) for r in spans.shared_spans(df.withColumnRenamed("t", "text")).collect()}
+    assert got == {(k, a, b) for k, a, b in brute(rows, 200)}
