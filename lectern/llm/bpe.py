@@ -21,8 +21,9 @@ from lectern.common import small_batches, spread
 #: Fixed value: the published split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words a worker remembers between batches, and bytes of the longest word among them; beyond, the memory starts anew.
-MEMORY_WORDS, MEMORY_BYTES = 400_000, 64
+#: Words a worker remembers between batches, bytes of the longest word among them, and pairs of tokens known to fit; beyond,
+#: the memory starts anew.
+MEMORY_WORDS, MEMORY_BYTES, MEMORY_PAIRS = 400_000, 64, 2_000_000
 
 
 class TrieEncoder:
@@ -32,7 +33,7 @@ class TrieEncoder:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.word_of = {i: t for t, i in ranks.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[tuple[int, int], bool] = {}  # cleared with the words a worker remembers
         # Lengths that any token ending in a byte pair can have: few, so most suffixes are never looked up.
         ends: dict[bytes, set[int]] = {}
         for t in ranks:
@@ -102,8 +103,9 @@ def _worker(path: str) -> tuple:
 def encode_texts(texts: list[str | None], path: str = VOCAB) -> list[list[list[int]]]:
     """For each text the ids of its words, in order; none for an empty or null text."""
     encoder, memory, split = _worker(path)
-    if len(memory) > MEMORY_WORDS:
+    if len(memory) > MEMORY_WORDS or len(encoder.fits) > MEMORY_PAIRS:
         memory.clear()
+        encoder.fits.clear()
     words = [split(t) if t else [] for t in texts]
     new = {w.encode("utf-8", "surrogatepass"): w for w in set().union(*words).difference(memory)}
     memory.update((new[w], ids) for w, ids in encoder.encode_all(list(new)))

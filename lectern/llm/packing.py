@@ -82,14 +82,12 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: i
     The rest is packed best-fit decreasing, hash groups of about ``group_items`` items side by side. Containers
     that stay open are dissolved and their items packed again in fewer groups, until one bounded group is left or
     dissolving no longer helps. A container is named after the key and piece of its largest item. Null, zero and
-    negative sizes and null keys come out in no container; keys should be unique, a repeated key is refused.
+    negative sizes and null keys come out in no container; a key stored several times is one item, of its largest size.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     sized = df.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("_n")).where(F.col("key").isNotNull() & (F.col("_n") > 0))
-    sized = sized.groupBy("key").agg(F.max("_n").alias("_n"), F.count("*").alias("_rows"))
-    sized = sized.withColumn("_n", F.when(F.col("_rows") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("keys must be unique")).cast("bigint")))
-    sized = materialize(sized.select("key", "_n"))
+    sized = materialize(sized.groupBy("key").agg(F.max("_n").alias("_n")))
     full = sized.where(F.col("_n") >= capacity).select("key", F.explode(F.expr(f"sequence(0L, _n div {capacity}L - 1)")).alias("piece"))
     full = full.select("key", "piece", F.lit(capacity).cast("bigint").alias("size"), F.concat_ws(":", "key", "piece").alias("container"))
     left = sized.select("key", F.expr(f"_n div {capacity}L").alias("piece"), F.expr(f"_n % {capacity}L").alias("size")).where("size > 0")
