@@ -1,11 +1,12 @@
 """Leftovers of printed pages in scanned text: cut words, misread letters, running headers, page numbers.
 
-One pass counts the words of the whole table. A second looks at the lines of every text: page numbers and lines set
-like a header are taken out, words cut at line ends are joined (unless the lexicon knows the break as a compound's
-own hyphen), and the words that aren't common are put out. Rare words meet the common ones in a symmetric-delete
-index; a distance that charges little for pairs of letters that scanners confuse, and the counts of both words,
-settle which are misread. Whether a line is a running header depends on the table too: its text recurs in many
-documents, names the document, breaks into a sentence, or does so elsewhere in the same document.
+One pass counts the words of the whole table. All of them meet in a symmetric-delete index, a table of what is left of
+each word without up to two letters: a distance that charges little for pairs of letters that scanners confuse, and how
+many times more often the other word occurs, settle which are misread. A second pass looks at the lines of every text:
+page numbers and lines set like a header are taken out, words cut at line ends are joined (unless the lexicon knows the
+break as a compound's own hyphen), and words that aren't among the commonest are put out and looked up in a join.
+Whether a line is a running header depends on the table too: its text recurs in many documents, names the document,
+breaks into a sentence, or does so elsewhere in the same document.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.common import materialize, small_batches, spread
+from lectern.llm.points import packed_bits
 
 #: Letters that scanners confuse, as (misread, printed).
 CONFUSED = (
@@ -29,10 +30,11 @@ CONFUSED = (
     ("m", "rn"), ("m", "in"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("e", "c"), ("t", "f"), ("i", "l"), ("h", "b"),
     ("1", "i"), ("|", "i"), ("8", "b"),
 )
-#: Most common words kept for the index and sent to every task, and how often a word must occur to be one of them.
-LEXICON_WORDS, COMMON_COUNT = 60_000, 6
-#: A word is misread only if the printed one is this many times as frequent; and the least length of such a word.
-RATIO, WORD_LETTERS = 15, 4
+#: Commonest words that are sent to every task so as to pass them by; all others are looked up by joins. And how often a
+#: compound or the word without its hyphen must occur to settle what stands at a line end.
+KNOWN_WORDS, COMMON_COUNT = 60_000, 6
+#: A word is misread only if the printed one is this many times as frequent; and the least and most letters of such a word.
+RATIO, WORD_LETTERS, MOST_LETTERS = 15, 4, 40
 #: Cost of a confusion and of any other edit, and the most a repair may cost.
 CONFUSION_COST, EDIT_COST, MOST_COST = 0.5, 2.0, 1.0
 #: A header-like line is a periodical's name if it occurs in this many documents and breaks into sentences in this share.
@@ -273,61 +275,67 @@ def distance(misread: str, printed: str, limit: float = MOST_COST) -> float:
     return rows[-1][-1]
 
 
-def _crc(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+_CODE = re.compile(r"[a-z]?\d+[a-z]?|\d+[a-z]*")
 
 
-class DeleteIndex:
-    """Common words by the hash of each string that is left when up to two letters are deleted.
+def _plain_reading(word: str) -> str | None:
+    """A word with its digits and signs read as the letters that they look like, if that makes a word of letters."""
+    if word.isalpha() or _CODE.fullmatch(word) or sum(c.isalpha() for c in word) < 3:
+        return None
+    plain = "".join("i" if c == "!" else _FOLD.get(c, c) for c in word)
+    return plain if plain.isalpha() else None
 
-    Built once on the driver from the bounded lexicon and sent to the tasks; a hash shared by chance only adds a
-    candidate, which the distance refuses."""
 
-    def __init__(self, common: dict[str, int]):
-        self.words = [w for w in common if len(w) >= WORD_LETTERS and w.isalpha()]
-        pairs = [(_crc(d), k) for k, w in enumerate(self.words) for d in deletes(w)]
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        both = both[np.argsort(both[:, 0], kind="stable")]
-        self.keys, self.at = both[:, 0].copy(), both[:, 1].astype(np.int32)
+def _deletes(words: DataFrame) -> DataFrame:
+    """``gone, word, n``: the hash of every string that is left of each word, with the word."""
 
-    def near(self, word: str) -> set[str]:
-        asked = np.fromiter(map(_crc, deletes(word)), np.int64)
-        low, high = np.searchsorted(self.keys, asked), np.searchsorted(self.keys, asked, "right")
-        return {self.words[k] for a, b in zip(low, high, strict=True) if b > a for k in self.at[a:b]}
+    def run(batches):
+        for batch in batches:
+            made = [sorted(deletes(w)) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.string()))], names=["word", "n", "made"])
 
+    made = spread(words.select("word", "n")).mapInArrow(run, "word string, n bigint, made array<string>")
+    return made.select("word", "n", F.explode("made").alias("left")).select(F.xxhash64("left").alias("gone"), "word", "n")
 
-_CODE = re.compile(r"[a-z]?\d+[a-z]?|\d+[a-z]*")
 
+def corrections(words: DataFrame) -> DataFrame:
+    """``word, printed array<struct<word, cost, n>>``: of ``words (word, n)``, each once, those that are misread, best first.
 
-def corrections(rare: DataFrame, common: dict[str, int], index: DeleteIndex) -> DataFrame:
-    """``word, printed array<struct<word, cost, n>>``: for the misread ones among ``rare (word, n)``, best first."""
-    shared = rare.sparkSession.sparkContext.broadcast((common, index))
+    The index is a table of Spark, joined with itself, so it holds the whole vocabulary. A printed word consists of
+    letters, isn't itself misread and is ``RATIO`` times as frequent. Words of more than ``MOST_LETTERS`` aren't tested.
+    """
+    asked = words.where(F.length("word").between(WORD_LETTERS, MOST_LETTERS) & ~F.col("word").rlike("^[0-9]+$"))
+    index = _deletes(asked)
+    frequent = index.where((F.col("n") >= RATIO) & F.col("word").rlike(r"^\p{L}+$")).select("gone", F.col("word").alias("c"), F.col("n").alias("nc"))
+    pairs = index.join(frequent, "gone").where((F.col("word") != F.col("c")) & (F.col("nc") >= RATIO * F.col("n"))).select("word", "c", "nc").distinct()
 
-    def run(batches):
-        common, index = shared.value
+    def measure(batches):
         for batch in batches:
-            words, found = [], []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                options = []
-                for c in index.near(word):
-                    if common.get(c, 0) >= RATIO * n and (cost := distance(word, c)) <= MOST_COST:
-                        options.append((cost - 0.05 * np.log(common[c]), cost, c))
-                if not options and any(not c.isalpha() for c in word) and not _CODE.fullmatch(word):
-                    plain = "".join("i" if c == "!" else _FOLD.get(c, c) for c in word)
-                    if plain.isalpha() and sum(c.isalpha() for c in word) >= 3:
-                        options.append((9.0, MOST_COST, plain))
-                if options:
-                    words.append(word)
-                    found.append([{"word": c, "cost": float(cost), "n": common.get(c, 0)} for _, cost, c in sorted(options)])
-            kind = pa.list_(pa.struct([("word", pa.string()), ("cost", pa.float64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(found, kind)], names=["word", "printed"])
-
-    return spread(rare.select("word", "n")).mapInArrow(run, "word string, printed array<struct<word:string,cost:double,n:bigint>>")
-
-
-def _cuts(text: str, common: dict[str, int]) -> tuple[str, bool]:
-    """The text with cut words joined, and whether a mark stood there that isn't part of the word."""
-    found, out, at = False, [], 0
+            cost = [distance(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost, pa.float64())], names=["word", "c", "nc", "cost"])
+
+    near = materialize(spread(pairs).mapInArrow(measure, "word string, c string, nc bigint, cost double").where(F.col("cost") <= MOST_COST))
+
+    def read(batches):
+        for batch in batches:
+            kept = [(w, p) for w in batch.column(0).to_pylist() if (p := _plain_reading(w))]
+            cols = list(zip(*kept, strict=True)) if kept else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["word", "plain"])
+
+    unread = materialize(spread(asked.where(~F.col("word").rlike(r"^\p{L}+$")).select("word")).mapInArrow(read, "word string, plain string"))
+    doubtful = near.select("word").union(unread.select("word")).distinct()
+    sure = near.join(doubtful.withColumnRenamed("word", "c"), "c", "left_anti")
+    option = F.struct((F.col("cost") - 0.05 * F.log("nc")).alias("order"), "cost", F.col("c").alias("word"), F.col("nc").alias("n"))
+    found = sure.groupBy("word").agg(F.sort_array(F.collect_list(option)).alias("o")).select("word", F.transform("o", lambda o: F.struct(o["word"].alias("word"), o["cost"].alias("cost"), o["n"].alias("n"))).alias("printed"))
+    read_as = F.array(F.struct(F.col("plain").alias("word"), F.lit(MOST_COST).alias("cost"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
+    plain = unread.join(found, "word", "left_anti").join(words.select(F.col("word").alias("plain"), "n"), "plain", "left")
+    return found.unionByName(plain.select("word", read_as.alias("printed")))
+
+
+def _cuts(text: str, known: dict[str, int], owns: frozenset[str] | set[str] = frozenset()) -> tuple[str, bool, list[tuple[str, str]]]:
+    """The text with cut words joined, whether a mark stood there that isn't part of the word, and the cuts that ``known``
+    doesn't settle, as compound and whole word. Of these, ``owns`` names the compounds that keep their hyphen."""
+    found, out, at, open_ = False, [], 0, []
     for m in _CUT.finditer(text):
         begin = m.start() - (text[m.start()] in "≠¨")
         left, right = _LEFT.search(text, max(0, begin - 60), begin), _RIGHT.match(text, m.end())
@@ -335,11 +343,16 @@ def _cuts(text: str, common: dict[str, int]) -> tuple[str, bool]:
             continue
         mark, a, b = text[m.start()], left[0], right[0]
         compound, whole = f"{a}-{b}".lower(), f"{a}{b}".lower()
-        own = mark in "-‐" and (common.get(compound, 0) > common.get(whole, 0) or b[0].isupper() and not a.isupper())
-        found |= not own
+        own = False
+        if mark in "-‐":
+            n, whole_n = known.get(compound, 0), known.get(whole, 0)
+            own = n >= COMMON_COUNT and n > whole_n or b[0].isupper() and not a.isupper() or compound in owns
+            if not own and compound not in known and whole not in known:
+                open_.append((compound, whole))
+        found |= not own and not (open_ and open_[-1] == (compound, whole))
         out += [text[at:begin], "-" if own else ""]
         at = m.end()
-    return "".join([*out, text[at:]]), found
+    return "".join([*out, text[at:]]), found, open_
 
 
 def _words_with_context(body: str):
@@ -358,7 +371,7 @@ def _like(printed: str, misread: str) -> str:
     return printed[:1].upper() + printed[1:] if misread[:1].isupper() or misread[:1] in "015689|!" and len(misread) > 1 and misread[1].isupper() else printed
 
 
-def repaired(text: str, title: str | None, page: int | None, headers: set[str], repairs: dict[tuple[str, str, str], str], common: dict[str, int]) -> str:
+def repaired(text: str, title: str | None, page: int | None, headers: set[str], repairs: dict[tuple[str, str, str], str], known: dict[str, int], owns: set[str]) -> str:
     """The text without page numbers and running headers, cut words joined, misread words replaced, lines unwrapped.
 
     Paragraphs that only a page's end divides, in the middle of a sentence, become one again; headings stay."""
@@ -381,7 +394,7 @@ def repaired(text: str, title: str | None, page: int | None, headers: set[str],
         fresh = False
     out = []
     for block in blocks:
-        body, _ = _cuts("\n".join(x.removeprefix("\x00").rstrip() for x in block), common)
+        body, _, _ = _cuts("\n".join(x.removeprefix("\x00").rstrip() for x in block), known, owns)
         at, made = 0, []
         for m, low, before, after in _words_with_context(body):
             word = low.rstrip("!")
@@ -394,7 +407,7 @@ def repaired(text: str, title: str | None, page: int | None, headers: set[str],
 
 
 #: Bits of the map of wanted word pairs. More pairs only let more through to the exact join.
-PAIR_BITS = 1 << 22
+PAIR_BITS = 1 << 24
 
 
 class Scans:
@@ -403,58 +416,64 @@ class Scans:
     def __init__(self, df: DataFrame, key: str = "id", text: str = "text", title: str = "doc_name", page: str = "page"):
         docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.col(title).alias("d"), F.col(page).cast("int").alias("p"))
         self.docs = spread(docs.where("id is not null and t is not null and length(trim(t)) > 0"))
-        words = materialize(lexicon(self.docs).where(F.length("word") < 60))
-        top = words.where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS)
-        lexicon_words = {r["word"]: r["n"] for r in top.toLocalIterator()}
-        # In a large table a misreading is frequent too; those of the lexicon's words are no words of it.
-        index = DeleteIndex(lexicon_words)
-        frequent = corrections(top.where(F.length("word") >= WORD_LETTERS), lexicon_words, index).select("word")
-        misread = {r["word"] for r in frequent.toLocalIterator()}
-        self.common = {w: n for w, n in lexicon_words.items() if w not in misread}
+        counted = materialize(lexicon(self.docs))
+        # An exclamation mark may be a letter misread, but not at the end of a word.
+        self.words = materialize(counted.groupBy(F.rtrim("word", F.lit("!")).alias("word")).agg(F.sum("n").alias("n")).where("word != ''"))
+        self.corrections = materialize(corrections(self.words))
+        top = self.words.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS)
+        self.known = {r["word"]: r["n"] for r in top.toLocalIterator()}
         self.parts = materialize(self._structure())
-        rare = self.parts.select(F.explode("rare").alias("w")).select(F.col("w.word").alias("word")).distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
-        self.corrections = materialize(corrections(rare, self.common, index))
 
     def _structure(self) -> DataFrame:
-        shared = self.docs.sparkSession.sparkContext.broadcast(self.common)
+        shared = self.docs.sparkSession.sparkContext.broadcast(self.known)
         word = pa.struct([("word", pa.string()), ("prev", pa.string()), ("next", pa.string())])
         head = pa.struct([("text", pa.string()), ("breaks", pa.bool_()), ("named", pa.bool_()), ("strong", pa.bool_())])
+        open_cut = pa.struct([("compound", pa.string()), ("whole", pa.string())])
 
         def run(batches):
-            common = shared.value
-            plain: set[str] = set()  # what stands between spaces and holds common words only
+            known = shared.value
+            plain: set[str] = set()  # what stands between spaces and holds known words only
             for batch in small_batches(batches):
-                ids, out = batch.column(0), []
+                out = []
                 for t, d, p in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     page = Page(t, d, p)
-                    body, cut = _cuts(_plain(page.body), common)
+                    body, cut, cuts = _cuts(_plain(page.body), known)
                     low, rare = body.lower(), []
                     for piece in set(low.split()).difference(plain):
-                        if all(w in common or len(w) < WORD_LETTERS for w in _PART.findall(piece)):
+                        if all(w in known or len(w) < WORD_LETTERS for w in _PART.findall(piece)):
                             plain.add(piece)
                     tokens = [] if plain.issuperset(low.split()) else _PART.findall(low)
                     if len(plain) > 500_000:
                         plain.clear()
-                    for k in [k for k, w in enumerate(tokens) if w not in common and len(w) >= WORD_LETTERS]:
+                    for k in [k for k, w in enumerate(tokens) if w not in known and len(w) >= WORD_LETTERS]:
                         w = tokens[k].rstrip("!")
-                        if w not in common and len(w) >= WORD_LETTERS and not w.isdigit():
+                        if w not in known and WORD_LETTERS <= len(w) <= MOST_LETTERS and not w.isdigit():
                             rare.append({"word": w, "prev": tokens[k - 1] if k else "", "next": tokens[k + 1] if k + 1 < len(tokens) else ""})
-                    out.append((cut, page.pageno, [{"text": a, "breaks": b, "named": n, "strong": g} for a, b, n, g in page.headers], rare))
-                cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.list_(head)), pa.array(cols[3], pa.list_(word))], names=["id", "cut", "pageno", "heads", "rare"])
+                    heads = [{"text": a, "breaks": b, "named": n, "strong": g} for a, b, n, g in page.headers]
+                    out.append((cut, page.pageno, heads, rare, [{"compound": a, "whole": b} for a, b in cuts]))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                kinds = (pa.bool_(), pa.bool_(), pa.list_(head), pa.list_(word), pa.list_(open_cut))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "d", "cut", "pageno", "heads", "rare", "cuts"])
 
-        found = self.docs.mapInArrow(run, "id bigint, cut boolean, pageno boolean, heads array<struct<text:string,breaks:boolean,named:boolean,strong:boolean>>, rare array<struct<word:string,prev:string,next:string>>")
-        return found
+        kind = "id bigint, d string, cut boolean, pageno boolean, heads array<struct<text:string,breaks:boolean,named:boolean,strong:boolean>>"
+        return self.docs.mapInArrow(run, kind + ", rare array<struct<word:string,prev:string,next:string>>, cuts array<struct<compound:string,whole:string>>")
 
     def headers(self) -> DataFrame:
         """``id, text``: the running headers of each text by their skeleton."""
-        names = self.docs.select("id", "d").distinct()
-        lines = self.parts.select("id", F.explode("heads").alias("h")).select("id", "h.*").join(names, "id")
+        lines = self.parts.select("id", "d", F.explode("heads").alias("h")).select("id", "d", "h.*")
         by_text = lines.groupBy("text").agg(F.approx_count_distinct("d").alias("docs"), F.avg(F.col("breaks").cast("double")).alias("share"))
-        periodicals = by_text.where((F.col("docs") >= PERIODICAL_DOCS) & (F.col("share") >= PERIODICAL_BREAKS)).select("text", F.lit(True).alias("periodical"))
-        in_doc = lines.where("d is not null").groupBy("d", "text").agg(F.max("strong").alias("strong_here"), F.max("named").alias("named_here"))
+        # Both tables are written first: joins of plain tables are split by Spark where a header or document is hot.
+        periodicals = materialize(by_text.where((F.col("docs") >= PERIODICAL_DOCS) & (F.col("share") >= PERIODICAL_BREAKS)).select("text", F.lit(True).alias("periodical")))
+        in_doc = materialize(lines.where("d is not null and (strong or named)").select("d", "text", F.lit(True).alias("here")).distinct())
         known = lines.join(periodicals, "text", "left").join(in_doc, ["d", "text"], "left")
-        return known.where("strong or named or coalesce(periodical, false) or coalesce(strong_here, false) or coalesce(named_here, false)").select("id", "text").distinct()
+        return known.where("strong or named or coalesce(periodical, false) or coalesce(here, false)").select("id", "text").distinct()
+
+    def cuts(self) -> DataFrame:
+        """``id, compound, own``: the cuts that rarer words settle, and whether the hyphen is the compound's own."""
+        cuts = self.parts.select("id", F.explode("cuts").alias("c")).select("id", "c.*").distinct()
+        compounds, wholes = self.words.select(F.col("word").alias("compound"), "n"), self.words.select(F.col("word").alias("whole"), F.col("n").alias("m"))
+        own = (F.coalesce("n", F.lit(0)) >= COMMON_COUNT) & (F.coalesce("n", F.lit(0)) > F.coalesce("m", F.lit(0)))
+        return cuts.join(compounds, "compound", "left").join(wholes, "whole", "left").select("id", "compound", own.alias("own"))
 
     def misread(self) -> DataFrame:
         """``id, word, prev, next, printed``: the misread words of each text with what may be printed."""
@@ -464,22 +483,17 @@ class Scans:
     def _pair_counts(self, wanted: DataFrame) -> DataFrame:
         """``a, b, n``: how often the wanted word pairs ``(a, b)`` occur in the table."""
 
-        def bits(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([_pair_bit(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.int32())], names=["bit"])
-
-        mask = np.zeros(PAIR_BITS, bool)
-        mask[[r["bit"] for r in wanted.select("a", "b").mapInArrow(bits, "bit int").distinct().toLocalIterator()]] = True
-        shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(mask))
+        bit = F.crc32(F.concat_ws(" ", "a", "b")) % PAIR_BITS
+        shared = wanted.sparkSession.sparkContext.broadcast(packed_bits(wanted.select(bit.alias("bit")), PAIR_BITS).tobytes())
 
         def run(batches):
-            mask = np.unpackbits(shared.value).astype(bool)
+            mask = shared.value
             for batch in small_batches(batches):
                 counted: Counter[tuple[str, str]] = Counter()
                 for text in batch.column(0).to_pylist():
                     tokens = _PART.findall(_CUT.sub("", text).lower())
                     counted.update(zip(tokens, tokens[1:], strict=False))
-                hits = [(a, b, n) for (a, b), n in counted.items() if mask[_pair_bit(a, b)]]
+                hits = [(a, b, n) for (a, b), n in counted.items() if mask[(bit := _pair_bit(a, b)) >> 3] >> (bit & 7) & 1]
                 cols = list(zip(*hits, strict=True)) if hits else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["a", "b", "n"])
 
@@ -507,22 +521,24 @@ class Scans:
         heads = self.headers().groupBy("id").agg(F.collect_set("text").alias("heads"))
         words = self.repairs().groupBy("id").agg(F.collect_set(F.struct("word", "prev", "next", "printed")).alias("words"))
         docs = self.docs.groupBy("id").agg(F.first(F.struct("t", "d", "p")).alias("s")).select("id", "s.*")
-        rows = docs.join(kinds, "id").join(heads, "id", "left").join(words, "id", "left")
-        shared = self.docs.sparkSession.sparkContext.broadcast(self.common)
+        owns = self.cuts().where("own").groupBy("id").agg(F.collect_set("compound").alias("owns"))
+        rows = docs.join(kinds, "id").join(heads, "id", "left").join(words, "id", "left").join(owns, "id", "left")
+        shared = self.docs.sparkSession.sparkContext.broadcast(self.known)
 
         def run(batches):
             for batch in small_batches(batches):
                 out = []
                 for r in batch.to_pylist():
                     changes = {(w["word"], w["prev"], w["next"]): w["printed"] for w in r["words"] or ()}
-                    out.append(repaired(r["t"], r["d"], r["p"], set(r["heads"] or ()), changes, shared.value))
+                    out.append(repaired(r["t"], r["d"], r["p"], set(r["heads"] or ()), changes, shared.value, set(r["owns"] or ())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "kinds", "text"])
 
-        return rows.select("id", "kinds", "t", "d", "p", "heads", "words").mapInArrow(run, "id bigint, kinds array<string>, text string")
+        return rows.select("id", "kinds", "t", "d", "p", "heads", "words", "owns").mapInArrow(run, "id bigint, kinds array<string>, text string")
 
     def kinds(self) -> DataFrame:
         """``id, kind``: every kind of leftover in each text."""
         flags = self.parts.select("id", F.explode(F.array(F.when(F.col("cut"), "hyphen"), F.when(F.col("pageno"), "pageno"))).alias("kind")).where("kind is not null")
+        flags = flags.unionByName(self.cuts().where("not own").select("id", F.lit("hyphen").alias("kind")))
         every = flags.unionByName(self.headers().select("id", F.lit("header").alias("kind"))).unionByName(self.misread().select("id", F.lit("char").alias("kind")))
         return every.distinct()
 

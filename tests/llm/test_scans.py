@@ -53,11 +53,21 @@ def test_repair(table):
     assert "ANNALS" not in got[400] and 504 not in got
 
 
-def test_distance_and_index():
+def test_distance_and_index(spark):
     assert scans.distance("farnily", "family") == scans.CONFUSION_COST
     assert scans.distance("fomily", "family") > scans.MOST_COST
-    index = scans.DeleteIndex({"family": 9, "village": 9})
-    assert index.near("farnily") == {"family"}
+    words = spark.createDataFrame([("family", 90), ("farnily", 2), ("village", 9), ("fomily", 1), ("vi1lage", 1), ("v111age", 1), ("p1e", 1), ("x" * 50, 1)], "word string, n bigint")
+    got = {r["word"]: [p["word"] for p in r["printed"]] for r in scans.corrections(words).collect()}
+    assert got == {"farnily": ["family"], "vi1lage": ["village"], "v111age": ["vlllage"]}
+
+
+def test_words_beyond_the_known_ones(spark, table, monkeypatch):
+    """What is found doesn't depend on how many words the tasks know beforehand."""
+    wanted = sorted(map(tuple, scans.scan_noise(table).collect()))
+    texts = sorted((r["id"], r["text"]) for r in scans.repair_scans(table).collect())
+    monkeypatch.setattr(scans, "KNOWN_WORDS", 3)
+    assert sorted(map(tuple, scans.scan_noise(table).collect())) == wanted
+    assert sorted((r["id"], r["text"]) for r in scans.repair_scans(table).collect()) == texts
 
 
 def test_empty(spark, table):
