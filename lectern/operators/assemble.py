@@ -13,20 +13,24 @@ GAP = "\n…\n"
 
 
 def positions(chunks: DataFrame) -> DataFrame:
-    """``id, doc_name, text, no``: chunks with a name, numbered by document and id over the whole table.
+    """``id, doc_name, no``: chunks with a name, numbered by document and id over the whole table.
 
     Chunks of one document have consecutive numbers, so neighbours are found by an equality join on name and
-    number, and no task needs a whole document."""
-    return with_global_number(chunks.where("doc_name is not null").select("id", "doc_name", "text"), ["doc_name", "id"], "no")
+    number, and no task needs a whole document. Texts aren't sorted along."""
+    return with_global_number(chunks.where("doc_name is not null").select("id", "doc_name"), ["doc_name", "id"], "no")
 
 
-def context_windows(hits: DataFrame, placed: DataFrame, width: int = 1) -> DataFrame:
-    """``hits`` with ``offset, near_id, near_text``: the chunks up to ``width`` places before and after each hit in its
+def neighbours(hits: DataFrame, placed: DataFrame, width: int = 1) -> DataFrame:
+    """``hits`` with ``doc_name, offset, near_id``: the chunks up to ``width`` places before and after each hit in its
     document, fewer at the document's ends. Hits without a place come out none."""
     own = hits.join(placed.select("id", "doc_name", "no"), "id")
     asked = own.withColumn("offset", F.explode(F.sequence(F.lit(-width), F.lit(width)))).withColumn("no", F.col("no") + F.col("offset"))
-    near = placed.select("doc_name", "no", F.col("id").alias("near_id"), F.col("text").alias("near_text"))
-    return asked.join(near, ["doc_name", "no"]).drop("no")
+    return asked.join(placed.select("doc_name", "no", F.col("id").alias("near_id")), ["doc_name", "no"]).drop("no")
+
+
+def context_windows(hits: DataFrame, placed: DataFrame, chunks: DataFrame, width: int = 1) -> DataFrame:
+    """``neighbours`` with ``near_text``: only the texts of chunks near a hit are joined."""
+    return neighbours(hits, placed, width).join(chunks.select(F.col("id").alias("near_id"), F.col("text").alias("near_text")), "near_id")
 
 
 def window_width(chunks_per_document: int) -> int:

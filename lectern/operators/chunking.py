@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.common import materialize
 from lectern.functions.text import NOT_SPACE, SPACE, has_sections, strip
 
 _HEADING = r"\n(## Section [0-9]+ – [^\n]+)\n"
 
 
+def _sections(text: Column) -> Column:
+    """``array<struct<section_title, text, page>>``: a chunk for each section with a body; see ``section_chunks``."""
+    parts = F.split(F.regexp_replace(text, _HEADING, "\x01$1\x02"), "\x01")
+
+    def chunk(part: Column) -> Column:
+        body = strip(part.substr(F.instr(part, "\x02") + 1, F.length(part)))
+        title = F.regexp_replace(F.substring_index(part, "\x02", 1), r"^## Section [0-9]+ – ", "")
+        title = F.regexp_replace(strip(F.regexp_replace(title, rf"{SPACE}*\(\[[0-9:]+\]\)", "")), r"\.$", "")
+        whole = F.when(body != "", F.concat(F.lit("["), title, F.lit("]\n\n"), body))
+        return F.struct(title.alias("section_title"), whole.alias("text"), F.lit(None).cast("int").alias("page"))
+
+    return F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), chunk), lambda c: c["text"].isNotNull())
+
+
 def section_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, seq, section_title, text``: a chunk for each section with a body.
+    """``key, seq, section_title, text``: a chunk for each section with a body, numbered from 0.
 
     A heading counts if a line break stands before and after it, so text before the first such heading is dropped,
     a heading at the very start is none, and of two headings in a row the second is body of the first. The title is
     the heading without its number, time stamp and final dot. Texts without such headings and null texts give none.
     """
-    marked = F.regexp_replace(text, _HEADING, "\x01$1\x02")
-    parts = df.select(F.col(key), F.posexplode(F.split(marked, "\x01")).alias("seq", "part")).where("seq > 0")
-    heading, body = F.substring_index("part", "\x02", 1), strip(F.expr("substring(part, instr(part, '\x02') + 1)"))
-    title = F.regexp_replace(heading, r"^## Section [0-9]+ – ", "")
-    title = F.regexp_replace(strip(F.regexp_replace(title, rf"{SPACE}*\(\[[0-9:]+\]\)", "")), r"\.$", "")
-    made = parts.select(key, "seq", title.alias("section_title"), body.alias("body")).where("body != ''")
-    return made.select(key, "seq", "section_title", F.concat(F.lit("["), F.col("section_title"), F.lit("]\n\n"), F.col("body")).alias("text"))
+    return df.select(F.col(key), F.posexplode(_sections(F.col(text))).alias("seq", "c")).select(key, "seq", "c.section_title", "c.text")
 
 
 def sentences(text: Column) -> Column:
@@ -75,65 +84,92 @@ def packed_intervals(lengths: Column, size: int = 1500, overlap: int = 200) -> C
     return F.aggregate(lengths, start, merge, finish)
 
 
+def _packs(found: Column, size: int, overlap: int) -> Column:
+    """``array<struct<section_title, text, page>>`` of packed sentences; see ``sentence_chunks``."""
+
+    def chunk(i: Column) -> Column:
+        text = strip(F.array_join(F.transform(F.slice(found, i["s"] + 1, i["e"] - i["s"] + 1), lambda s: s["text"]), " "))
+        return F.struct(F.lit("").alias("section_title"), text.alias("text"), F.get(found, i["s"])["page"].alias("page"))
+
+    return F.transform(packed_intervals(F.transform(found, lambda s: F.length(s["text"])), size, overlap), chunk)
+
+
 def sentence_chunks(df: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 200) -> DataFrame:
     """``key, seq, text, page``: packs of whole sentences of about ``size`` characters that share up to ``overlap``
     characters of whole sentences with the pack before. A longer sentence is a chunk of its own. The page is that
     of the first sentence. Null, empty and blank texts give no chunk."""
     rows = df.select(key, sentences(F.col(text)).alias("_s")).where(F.size("_s") > 0)
-    packs = rows.select(key, "_s", F.posexplode(packed_intervals(F.transform("_s", lambda s: F.length(s["text"])), size, overlap)).alias("seq", "_i"))
-    pack = F.slice("_s", F.col("_i.s") + 1, F.col("_i.e") - F.col("_i.s") + 1)
-    return packs.select(key, F.col("seq"), strip(F.array_join(F.transform(pack, lambda s: s["text"]), " ")).alias("text"), F.element_at("_s", F.col("_i.s") + 1)["page"].alias("page"))
+    return rows.select(key, F.posexplode(_packs(F.col("_s"), size, overlap)).alias("seq", "c")).select(key, "seq", "c.text", "c.page")
 
 
-def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 200) -> DataFrame:
-    """``key, seq, section_title, text, page``: every document by section if it has one, else by sentences.
-
-    A text whose only headings lack the dash after the number counts as sectioned and gives no chunk."""
+def chunk_arrays(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 200) -> DataFrame:
+    """``key, chunks array<struct<section_title, text, page>>``: every document with its chunks, by section if it has one,
+    else by sentences. A text whose only headings lack the dash after the number counts as sectioned and has no chunk."""
     sectioned = has_sections(F.col(text))
-    by_section = section_chunks(df.where(sectioned), key, text).withColumn("page", F.lit(None).cast("int"))
-    by_size = sentence_chunks(df.where(~sectioned), key, text, size, overlap).withColumn("section_title", F.lit(""))
-    return by_section.unionByName(by_size)
+    rows = df.select(key, F.when(sectioned, _sections(F.col(text))).alias("_sections"), F.when(~sectioned, sentences(F.col(text))).alias("_s"))
+    return rows.select(key, F.coalesce("_sections", _packs(F.col("_s"), size, overlap), F.array().cast("array<struct<section_title:string,text:string,page:int>>")).alias("chunks"))
+
+
+def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 200) -> DataFrame:
+    """``key, seq, section_title, text, page``: the chunks of ``chunk_arrays``, one row each, numbered from 0."""
+    return chunk_arrays(df, key, text, size, overlap).select(key, F.posexplode("chunks").alias("seq", "c")).select(key, "seq", "c.section_title", "c.text", "c.page")
 
 
 def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "kind", path: str = "path", doc_name: str = "doc_name") -> DataFrame:
     """The chunk store of ``df``: ``id, doc_name, section_title, text, char_count, page, chunk_pos, doc_chunk_count, preview``.
 
     Ids run from 0 in load order: text files before PDF files, each by path (null paths first) and key, then in the
-    document. They come from a sort by range and a running count, so no task holds the whole table. Positions
-    count the chunks of one ``doc_name``, also where several documents share it.
+    document. Positions count the chunks of one ``doc_name``, also where several documents share it. Only the documents'
+    keys and their numbers of chunks are sorted and counted; no task holds all documents of a name, and texts are at most
+    joined with the outcome. Keys must be unique.
     """
-    chunks = chunk_documents(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
-    order = df.select(F.col(key).alias("_key"), F.col(doc_name).alias("doc_name"), (F.col(kind) == "pdf").cast("int").alias("_kind"), F.col(path).alias("_path"))
-    placed = chunks.join(order, "_key")
-    numbered = with_global_number(placed, ["_kind", "_path", "_key", "seq"], "id")
-    in_doc = Window.partitionBy("doc_name").orderBy("id")
-    return numbered.select(
-        "id",
+    order = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(doc_name).alias("doc_name"), (F.col(kind) == "pdf").cast("int").alias("_kind"), F.col(path).alias("_path"))
+    made = materialize(chunk_arrays(order, "_key", "_text").join(order.drop("_text"), "_key"))
+    docs = made.select("_key", "doc_name", "_kind", "_path", F.size("chunks").alias("_n")).where("_n > 0")
+    first = running_total(docs, ["_kind", "_path", "_key"], "_n", "_first").select("_key", "_first")
+    named = running_total(docs, ["doc_name", "_kind", "_path", "_key"], "_n", "_upto").select("_key", "doc_name", "_n", "_upto")
+    names = materialize(named.groupBy("doc_name").agg(F.min("_upto").alias("_begin"), F.sum("_n").alias("_count")))
+    placed = named.join(names, named["doc_name"].eqNullSafe(names["doc_name"])).select("_key", (F.col("_upto") - F.col("_begin")).alias("_before"), "_count")
+    rows = made.join(materialize(first.join(placed, "_key")), "_key").select("doc_name", "_first", "_before", "_count", F.posexplode("chunks").alias("_k", "c"))
+    return rows.select(
+        (F.col("_first") + F.col("_k")).alias("id"),
         "doc_name",
-        "section_title",
-        "text",
-        F.length("text").alias("char_count"),
-        "page",
-        F.row_number().over(in_doc).alias("chunk_pos"),
-        F.count("*").over(Window.partitionBy("doc_name")).cast("int").alias("doc_chunk_count"),
-        F.concat(F.substring("text", 1, 150), F.lit("...")).alias("preview"),
+        "c.section_title",
+        "c.text",
+        F.length("c.text").alias("char_count"),
+        "c.page",
+        (F.col("_before") + F.col("_k") + 1).cast("int").alias("chunk_pos"),
+        F.col("_count").cast("int").alias("doc_chunk_count"),
+        F.concat(F.substring("c.text", 1, 150), F.lit("...")).alias("preview"),
     )
 
 
+def _sorted_by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in the given order over all partitions, written once, with ``_part`` and the place ``_at`` in it."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(ordered).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+
+
+def _with_offsets(rows: DataFrame, amount: Column, offset: str) -> DataFrame:
+    """``rows`` with what all partitions before hold of ``amount``; one number for each partition reaches the driver."""
+    before, offsets = 0, []
+    for r in rows.groupBy("_part").agg(amount.alias("n")).orderBy("_part").toLocalIterator():
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, f"_part bigint, {offset} bigint")), "_part")
+
+
 def with_global_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with a consecutive number from 0 in the given order: rows are sorted by range and counted per partition.
 
-    The order must be total. Only one count for each partition reaches the driver.
+    The order must be total. Rows are shuffled once.
     """
-    from lectern.common import materialize
+    rows = _with_offsets(_sorted_by_range(df, order), F.count("*"), "_offset")
+    return rows.withColumn(name, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
 
-    sorted_rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = sorted_rows.groupBy("_part").count().orderBy("_part").collect()
-    before, offsets = 0, []
-    for r in sizes:
-        offsets += [F.lit(r["_part"]), F.lit(before)]
-        before += r["count"]
-    if not offsets:
-        return sorted_rows.withColumn(name, F.lit(0).cast("bigint")).drop("_part")
-    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return sorted_rows.withColumn(name, (in_part + F.element_at(F.create_map(*offsets), F.col("_part"))).cast("bigint")).drop("_part")
+
+def running_total(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before, in the given order, which must be total."""
+    rows = _with_offsets(_sorted_by_range(df, order), F.sum(amount), "_offset")
+    before = F.sum(amount).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, F.coalesce(before, F.lit(0)) + F.col("_offset")).drop("_part", "_at", "_offset")

@@ -27,6 +27,11 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
+def all_words(chunks: DataFrame) -> DataFrame:
+    """``id, term, tf``: every word of ``chunks (id, text)`` with its number, stop words and short ones too."""
+    return postings(chunks, (), least=1)
+
+
 @dataclass
 class Weighted:
     """``weights (id, term, weight)`` and ``vocabulary (term, ...)`` of one model; ``n`` chunks in all."""
@@ -87,6 +92,14 @@ def bm25_queries(queries: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     return posted.select(F.col("id").alias("query_id"), "term", F.col("tf").cast("double").alias("weight"))
 
 
+def index_metrics(chunks: DataFrame, vocabulary: DataFrame, embeddings: DataFrame | None = None, bm25: Weighted | None = None) -> DataFrame:
+    """``chunks, documents, features, vectors, has_embeddings, has_bm25``: one row about an index."""
+    store = chunks_once(chunks, "doc_name").agg(F.count("*").alias("chunks"), F.count_distinct("doc_name").alias("documents"))
+    features = vocabulary.agg(F.count("*").alias("features"))
+    vectors = embeddings.agg(F.count("*").alias("vectors")) if embeddings is not None else features.select(F.lit(0).cast("bigint").alias("vectors"))
+    return store.join(F.broadcast(features)).join(F.broadcast(vectors)).withColumns({"has_embeddings": F.col("vectors") > 0, "has_bm25": F.lit(bm25 is not None)})
+
+
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """``chunks, documents, characters``: one row."""
     once = chunks_once(chunks, "doc_name", "char_count")

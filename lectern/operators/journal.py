@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse, strip
 
 #: Words that head a section of a contents table, and credentials that follow an author's name.
-SECTION_LABELS = ("CONTENTS", "ARTICLES", "COMMENTARY", "BRIEF REPORTS", "BOOK REVIEWS", "FROM THE ARCHIVES", "FROM THE EDITOR", "FROM THE GUEST EDITOR")
-CREDENTIALS = ("PhD", "MD", "MSW", "LCSW", "LMFT", "LCPC", "LICSW", "PsyD", "EdD", "MA", "MS", "MEd", "RN", "DMin", "MDiv")
+SECTION_LABELS = (
+    "CONTENTS", "ARTICLES", "ARTICLE", "COMMENTARY", "BRIEF REPORTS", "BRIEF REPORT", "BOOK REVIEWS", "BOOK REVIEW", "FROM THE ARCHIVES",
+    "FACULTY CASE CONFERENCE", "REFERENCES", "INDEX", "IN MEMORIAM", "INTRODUCTION TO CONFERENCE", "FROM THE EDITOR", "FROM THE GUEST EDITOR",
+)
+PANEL = "(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH) PANEL OF PRESENTATIONS"
+CREDENTIALS = ("PhD", "MD", "MSW", "LCSW", "LMFT", "LCPC", "LICSW", "PsyD", "EdD", "MA", "MS", "MEd", "RN", "DMin", "MDiv", "JD", "MFT", "MSN", "MSSW", "MSAT")
 _CREDENTIAL = r"\b(?:" + "|".join(CREDENTIALS) + r")\b"
 _REVIEWER = r"^(?:Reviewed by|Review|Reviewer)(?::| )"
 _PREFIX = r"^(?:Reviewed by:? ?|Review: ?|Reviewer: ?|Presenter: ?|Introduction by:? ?|Introduction: ?)"
 
 
-def is_section_label(text: Column) -> Column:
-    return F.upper(strip(text)).isin(*SECTION_LABELS)
+#: A name with credentials after a comma. As a title it is the editor's, whose piece bears no title of its own.
+_EDITOR = rf"^[A-Z][a-z]+(?: [A-Z]\.)?(?: [A-Z][a-z]+)+ *, *(?:.*\b)?(?:{'|'.join(CREDENTIALS)})\b"
+EDITORIAL = "FROM THE EDITOR"
+
+
+def is_section_label(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a line is the heading of a section; ``more`` are the labels of single issues, in capitals."""
+    label = F.upper(strip(text))
+    return label.isin(*SECTION_LABELS, *more) | label.rlike(f"^{PANEL}$")
 
 
 def page_number(text: Column) -> Column:
@@ -74,12 +85,13 @@ def toc_entries(tokens: DataFrame, key: str) -> DataFrame:
 
     An entry begins at a ``TAB`` whose next token but ``TEXT`` is a ``PAGE``. Until the next entry or label, further ``TAB``
     lines before the author continue the title. The author is the first reviewer's line, else the first line with
-    credentials, else the first plain ``TEXT``; without any it is ``Unknown``.
+    credentials, else the first plain ``TEXT``; without any it is ``Unknown``. A ``TAB`` that is a name with credentials
+    directly before its page is the editor's piece, titled ``FROM THE EDITOR``.
     """
     by_pos = Window.partitionBy(key).orderBy("pos")
     solid = F.when(F.col("type") != "TEXT", F.struct("type", "page_val"))
     after = F.first(solid, ignorenulls=True).over(by_pos.rowsBetween(1, Window.unboundedFollowing))
-    marked = tokens.withColumn("next", after).withColumn("starts", (F.col("type") == "TAB") & (F.col("next.type") == "PAGE"))
+    marked = tokens.withColumn("at_page", F.coalesce(F.lead("type").over(by_pos) == "PAGE", F.lit(False))).withColumn("next", after).withColumn("starts", (F.col("type") == "TAB") & (F.col("next.type") == "PAGE"))
     marked = marked.withColumn("block", F.sum((F.col("starts") | (F.col("type") == "HEADER")).cast("int")).over(by_pos))
     in_block = Window.partitionBy(key, "block").orderBy("pos")
     marked = marked.withColumn("opens", F.first("starts").over(in_block)).where("opens")
@@ -89,12 +101,14 @@ def toc_entries(tokens: DataFrame, key: str) -> DataFrame:
     titled = (F.col("type") == "TAB") & (F.col("as_author").isNull()) & (F.col("pos") < F.coalesce(F.col("author_at.pos"), F.lit(1 << 30)))
     found = blocks.groupBy(key, "block").agg(
         F.min("pos").alias("pos"),
+        F.min(F.when(F.col("starts") & F.col("at_page") & F.col("text_val").rlike(_EDITOR), F.col("text_val"))).alias("editor"),
         collapse(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(titled, F.struct("pos", "text_val")))), lambda x: x["text_val"]), " ")).alias("title"),
         F.first("author_at").alias("a"),
         F.min(F.when(F.col("starts"), F.col("next.page_val"))).alias("page"),
     )
-    kept = found.where((F.col("title") != "") & ~is_section_label(F.col("title")))
-    return kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("ord"), "title", F.coalesce(last_name(F.col("a.text_val")), F.lit("Unknown")).alias("author"), "page")
+    kept = found.where(F.col("editor").isNotNull() | (F.col("title") != "") & ~is_section_label(F.col("title")))
+    title, author = F.when(F.col("editor").isNotNull(), EDITORIAL).otherwise(F.col("title")), F.coalesce("editor", "a.text_val")
+    return kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("ord"), title.alias("title"), F.coalesce(last_name(author), F.lit("Unknown")).alias("author"), "page")
 
 
 def page_map(pages: DataFrame, issue: str, pdf_page: str, text: str) -> DataFrame:
@@ -171,3 +185,34 @@ def ocr_entries(df: DataFrame, key: str, text: str, years: tuple[int, int] = (19
     author = F.get(F.filter(until_stop(F.col("below")), lambda x: has_credentials(x["line"]) | has_reviewer_prefix(x["line"])), F.lit(0))["line"]
     cleaned = F.regexp_replace(F.regexp_replace(title, "^['\"]+", ""), "_+$", "")
     return placed.select(key, F.col("n").alias("page"), strip(cleaned).alias("title"), F.coalesce(last_name(author), F.lit("Unknown")).alias("author")).where("title != ''")
+
+
+def corrected_entries(entries: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """``entries (key, page, title, author)`` with the rows of ``corrections`` in place of those of the same key and page, and
+    those that recognition missed added. Of several corrections of a page the least title counts."""
+    once = corrections.groupBy(key, "page").agg(F.min(F.struct("title", "author")).alias("c")).select(key, "page", "c.title", "c.author")
+    return entries.select(key, "page", "title", "author").join(once.select(key, "page"), [key, "page"], "left_anti").unionByName(once)
+
+
+def issue_contents(issues: DataFrame, pages: DataFrame, issue: str, pdf_page: str, text: str) -> DataFrame:
+    """``issue, toc_format, text``: the contents table of every issue of ``issues (issue, toc_pages array<int>, toc_format, skip)``
+    that isn't skipped, its pages in the order of the list. Pages that don't exist are left out, issues without any too."""
+    listed = issues.where(~F.coalesce("skip", F.lit(False))).select("issue", "toc_format", F.posexplode("toc_pages").alias("n", "pdf_page"))
+    own = pages.select(F.col(issue).alias("issue"), F.col(pdf_page).alias("pdf_page"), F.col(text).alias("text")).where("text is not null")
+    found = listed.join(own, ["issue", "pdf_page"]).groupBy("issue", "toc_format").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("t"))
+    return found.select("issue", "toc_format", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+
+
+def article_records(articles: DataFrame, extents: DataFrame, texts: DataFrame, journal: str) -> DataFrame:
+    """``issue, ord, file_name, record, warning`` of ``articles (issue, ord, title, author)``: each article's text below four
+    lines that say where it stands, what it is called, who wrote it and on which pages.
+
+    ``warning`` is ``unmapped`` for an article whose start has no page in the file (its record is null) and ``empty`` for
+    one without text; else null.
+    """
+    rows = articles.join(extents.select("issue", "ord", "start_page", "end_page"), ["issue", "ord"], "left").join(texts.select("issue", "ord", "text"), ["issue", "ord"], "left")
+    pages = F.concat(F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"))
+    head = F.concat(F.lit(f"{journal} Vol. "), F.col("issue"), F.lit("\nTitle: "), F.col("title"), F.lit("\nAuthor: "), F.col("author"), F.lit("\nPages: "), pages, F.lit("\n\n"))
+    warning = F.when(F.col("start_page").isNull(), "unmapped").when(strip(F.coalesce("text", F.lit(""))) == "", "empty")
+    name = article_file_name(journal, F.col("issue"), F.col("author"), F.col("title"))
+    return rows.select("issue", "ord", name.alias("file_name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("record"), warning.alias("warning"))

@@ -64,17 +64,28 @@ def variant_counts(chunks: DataFrame, variants: list[str]) -> DataFrame:
     return chunks.select("id", F.explode(F.filter(counted, lambda c: c.isNotNull())).alias("c")).select("id", "c.variant", "c.n")
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, boosts: DataFrame | None = None, stop_words=STOP_WORDS) -> DataFrame:
+def posted_counts(posted: DataFrame, variants: list[str]) -> DataFrame:
+    """``variant_counts`` of variants that are parts of words, from ``posted (id, term, tf)``: the variants are looked for in
+    each different word, not in each text."""
+    words = variant_counts(posted.select(F.col("term").alias("id"), F.col("term").alias("text")).distinct(), variants).withColumnRenamed("id", "term")
+    return posted.join(words, "term").groupBy("id", "variant").agg(F.sum(F.col("tf") * F.col("n")).cast("int").alias("n"))
+
+
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, boosts: DataFrame | None = None, stop_words=STOP_WORDS, posted: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, id, doc_name, score, boost, hits``: the best chunk of each document by keyword hits.
 
     A phrase counts threefold and must occur; of a word's variants the most frequent counts. Hits are non-overlapping
     substrings. In a document the earlier of equal chunks counts; equal documents come in the order of their first
     matching chunk. The distinct variants of all queries are counted in blocks, once for each chunk. Chunks without
-    a document name form one document, as a null name does elsewhere.
+    a document name form one document, as a null name does elsewhere. With ``posted (id, term, tf)``, all words of the
+    chunks with their number, only variants with spaces or punctuation are looked for in the texts.
     """
     terms = keyword_terms(queries, stop_words)
     names = [r[0] for r in terms.select("variant").distinct().orderBy("variant").toLocalIterator()]
-    blocks = [variant_counts(chunks, names[i : i + VARIANT_BLOCK]) for i in range(0, len(names), VARIANT_BLOCK)]
+    within = [v for v in names if posted is not None and v.replace("_", "a").isalnum()]
+    across = [v for v in names if posted is None or not v.replace("_", "a").isalnum()]
+    blocks = [posted_counts(posted, within[i : i + VARIANT_BLOCK]) for i in range(0, len(within), VARIANT_BLOCK)]
+    blocks += [variant_counts(chunks, across[i : i + VARIANT_BLOCK]) for i in range(0, len(across), VARIANT_BLOCK)]
     if not blocks:
         blocks = [chunks.select("id", F.lit("").alias("variant"), F.lit(0).alias("n")).where("false")]
     hits = reduce(DataFrame.unionByName, blocks).join(terms, "variant").groupBy("query_id", "id", "term_no", "phrase").agg(F.max("n").alias("n"))
@@ -98,13 +109,13 @@ def combined_search(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFram
 def embedding_search(vectors: DataFrame, queries: DataFrame, k: int, doc_of: DataFrame | None = None, boosts: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, id, score, boost``: cosine of ``queries (query_id, vector)`` and ``vectors (id, vector)``, exact.
 
-    Queries are scored in blocks; each Arrow batch of vectors keeps its ``k`` best rows a query, so the shuffle holds
-    no more than that. Null and zero vectors and vectors of another length than the query's match nothing; with boosts
-    every positive row is kept until they are applied. Equal scores by descending id.
+    Queries are scored in blocks; boosts are joined to the vectors, so each Arrow batch of vectors keeps its ``k`` best rows
+    a query, and the shuffle holds no more than that. Null and zero vectors and vectors of another length than the query's
+    match nothing. Equal scores by descending id.
     """
     found = []
     rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id")
-    keep = None if boosts is not None else k
+    weighed = boosted(vectors.select("id", "vector", F.lit(1.0).alias("score")), doc_of, boosts).select("id", "vector", "boost")
     for block in _blocks(rows, VECTOR_BLOCK):
         ids = block["query_id"].to_numpy()
         matrix = np.array([np.asarray(v, float) for v in block["vector"]])
@@ -118,18 +129,17 @@ def embedding_search(vectors: DataFrame, queries: DataFrame, k: int, doc_of: Dat
                     continue
                 m = np.array([np.asarray(v, float) for v in frame["vector"]])
                 norm = np.linalg.norm(m, axis=1)
-                cosine = np.where(norm > 0, unit @ m.T / np.maximum(norm, 1e-300), 0.0)
-                at = frame["id"].to_numpy()
-                for q, row in zip(ids, np.round(cosine, 12), strict=True):
-                    best = np.lexsort((-at, -np.round(row, 9)))[: keep or len(row)]
-                    best = best[row[best] > 0]
-                    yield pd.DataFrame({"query_id": q, "id": at[best], "score": row[best]})
-
-        found.append(vectors.select("id", "vector").mapInPandas(score, "query_id bigint, id bigint, score double"))
+                boost, at = frame["boost"].to_numpy(), frame["id"].to_numpy()
+                scores = np.round(np.where(norm > 0, unit @ m.T / np.maximum(norm, 1e-300), 0.0), 12) * boost
+                order = np.lexsort((np.broadcast_to(-at, scores.shape), -np.round(scores, 9)))[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                kept = best > 0
+                yield pd.DataFrame({"query_id": np.repeat(ids, kept.sum(1)), "id": at[order][kept], "score": best[kept], "boost": boost[order][kept]})
+
+        found.append(weighed.mapInPandas(score, "query_id bigint, id bigint, score double, boost double"))
     if not found:
-        empty = vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).where("false")
-        found = [empty]
-    return first_k(boosted(reduce(DataFrame.unionByName, found), doc_of, boosts), k, F.desc("id")).select("query_id", "rank", "id", "score", "boost")
+        found = [vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1.0).alias("boost")).where("false")]
+    return first_k(reduce(DataFrame.unionByName, found), k, F.desc("id")).select("query_id", "rank", "id", "score", "boost")
 
 
 def _blocks(rows: DataFrame, size: int):

@@ -67,15 +67,30 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
     return index.term_statistics(index.postings(documents(spark, d).select(F.col("doc_id").alias("id"), "text")))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return index.chunks_once(read_table(spark, d, "chunk_metadata"), "text")
+
+
 def tfidf_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return index.tfidf(search.chunks(spark, d).select("id", "text")).vocabulary.select("term", "df", "total", F.round("idf", 6).alias("idf"))
+    return index.tfidf(texts(spark, d)).vocabulary.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    weights = index.tfidf(search.chunks(spark, d).select("id", "text")).weights
+    weights = index.tfidf(texts(spark, d)).weights
     return weights.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 
+def index_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored index of the directory holds."""
+    bm25 = search.model(spark, d, "bm25")
+    return index.index_metrics(search.chunks(spark, d), search.model(spark, d, "tfidf").vocabulary, read_table(spark, d, "embeddings"), bm25)
+
+
+def stored_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The BM25 postings of the stored index by term."""
+    return search.model(spark, d, "bm25").weights.groupBy("term").agg(F.count("*").alias("chunks"), F.round(F.sum("weight"), 5).alias("total"))
+
+
 def stale_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return index.stale_embeddings(read_table(spark, d, "chunk_metadata"), read_table(spark, d, "embeddings"))
 
@@ -122,7 +137,7 @@ def toc_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def toc_files(spark: SparkSession, d: str) -> DataFrame:
     rows = toc_entries(spark, d)
-    return rows.select("doc_id", "ord", journal.article_file_name("FSJ", F.col("doc_id").cast("string"), F.col("author"), F.col("title")).alias("file_name"))
+    return rows.select("doc_id", "ord", journal.article_file_name("Journal", F.col("doc_id").cast("string"), F.col("author"), F.col("title")).alias("file_name"))
 
 
 def ocr_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -148,12 +163,9 @@ def nearest_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_starts(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth mapped page of a document as the start of an article."""
-    from pyspark.sql import Window
-
+    """Every mapped page of a document as the start of an article."""
     mapped = page_map(spark, d).where("journal_page < 1000")
-    numbered = mapped.withColumn("n", F.row_number().over(Window.partitionBy("issue").orderBy("journal_page")))
-    return numbered.where("n % 5 = 1").select("issue", F.floor(F.col("n") / 5).cast("int").alias("ord"), F.col("journal_page").alias("page"))
+    return mapped.select("issue", F.col("journal_page").alias("ord"), F.col("journal_page").alias("page"))
 
 
 def article_extents(spark: SparkSession, d: str) -> DataFrame:
@@ -165,6 +177,25 @@ def article_text(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("issue", "ord", "pages", F.md5("text").alias("digest"))
 
 
+def article_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every article as a file, titled by the first line of its text."""
+    starts, extents = article_starts(spark, d), article_extents(spark, d)
+    texts = journal.article_texts(extents, scanned_pages(spark, d), "doc_name", "page", "text")
+    first = F.regexp_extract("text", r"([^ \t\n\r\f\x0B][^\n]{0,40})", 1)
+    titled = starts.join(texts, ["issue", "ord"], "left").select("issue", "ord", X.collapse(F.coalesce(first, F.lit(""))).alias("title"), F.lit("Unknown").alias("author"))
+    rows = journal.article_records(titled, extents, texts, "Journal")
+    return rows.select("issue", "ord", "file_name", F.length("record").alias("characters"), F.md5("record").alias("digest"), "warning")
+
+
+def issue_contents(spark: SparkSession, d: str) -> DataFrame:
+    """The first two pages of every scanned document as its contents table."""
+    pages = scanned_pages(spark, d)
+    first = pages.groupBy("doc_name").agg(F.min("page").alias("p"))
+    issues = first.select(F.col("doc_name").alias("issue"), F.array("p", F.col("p") + 1).alias("toc_pages"), F.lit("TAB").alias("toc_format"), (F.col("p") > 500).alias("skip"))
+    rows = journal.issue_contents(issues, pages, "doc_name", "page", "text")
+    return rows.select("issue", "toc_format", F.length("text").alias("characters"), F.md5("text").alias("digest"))
+
+
 def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and characters by author and boost with subtotals. An extension."""
     store = search.chunks(spark, d).where("doc_name is not null").join(search.names(spark, d), "doc_name")

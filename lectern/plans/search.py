@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.common import materialize, read_table
+from lectern.common import materialize, read_table, shared_dir
 from lectern.functions import rules
 from lectern.functions import text as X
 from lectern.operators import assemble, index, retrieve
+from lectern.sources import readers, writers
 
 K_SEARCH, K_CHAT, K_REPORT = 15, 12, 30
 
 
+#: Where the index of a data directory was written by this application.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> str:
+    """The path of the index of a data directory in the shared folder. It is built at the first search of an application, and
+    again if the folder was cleared since; all further searches load it."""
+    key = (spark.sparkContext.applicationId, d)
+    try:
+        spark.read.parquet(f"{_stored.get(key, '')}/done")
+    except AnalysisException:
+        path = f"{shared_dir(spark)}/lectern-index-{uuid.uuid4().hex}"
+        store = materialize(index.chunks_once(read_table(spark, d, "chunk_metadata"), "doc_name", "text", "char_count", "page", "section_title", "chunk_pos", "doc_chunk_count"))
+        texts = store.select("id", "text")
+        writers.save_index(store, {"tfidf": index.tfidf(texts), "bm25": index.bm25(texts)}, path, index.all_words(texts))
+        spark.range(1).write.parquet(f"{path}/done")
+        _stored[key] = path
+    return _stored[key]
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return index.chunks_once(read_table(spark, d, "chunk_metadata"), "doc_name", "text", "char_count", "page", "section_title")
+    return readers.load_chunks(spark, stored_index(spark, d))
+
+
+def model(spark: SparkSession, d: str, name: str) -> index.Weighted:
+    return readers.load_model(spark, stored_index(spark, d), name)
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
@@ -34,19 +63,17 @@ def shown(hits: DataFrame) -> DataFrame:
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = K_SEARCH, boost: bool = True) -> DataFrame:
-    store = chunks(spark, d)
-    model = index.bm25(store.select("id", "text"))
-    return retrieve.term_search(model.weights, index.bm25_queries(cases(spark, d)), k, store, names(spark, d) if boost else None)
+    terms = index.bm25_queries(cases(spark, d))
+    return retrieve.term_search(model(spark, d, "bm25").weights, terms, k, chunks(spark, d), names(spark, d) if boost else None)
 
 
 def tfidf_hits(spark: SparkSession, d: str, k: int = K_SEARCH, boost: bool = True) -> DataFrame:
-    store = chunks(spark, d)
-    model = index.tfidf(store.select("id", "text"))
-    return retrieve.term_search(model.weights, index.tfidf_queries(cases(spark, d), model), k, store, names(spark, d) if boost else None)
+    fitted = model(spark, d, "tfidf")
+    return retrieve.term_search(fitted.weights, index.tfidf_queries(cases(spark, d), fitted), k, chunks(spark, d), names(spark, d) if boost else None)
 
 
 def keyword_hits(spark: SparkSession, d: str, k: int = K_SEARCH) -> DataFrame:
-    return retrieve.keyword_search(chunks(spark, d), cases(spark, d), k, names(spark, d))
+    return retrieve.keyword_search(chunks(spark, d), cases(spark, d), k, names(spark, d), posted=readers.load_words(spark, stored_index(spark, d)))
 
 
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +98,9 @@ def search_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_top_docs(spark: SparkSession, d: str) -> DataFrame:
-    store = chunks(spark, d)
-    model = index.tfidf(store.select("id", "text"))
-    scored = retrieve.score_terms(model.weights, index.tfidf_queries(cases(spark, d), model))
-    return shown(retrieve.top_documents(scored, store, K_SEARCH, names(spark, d)))
+    fitted = model(spark, d, "tfidf")
+    scored = retrieve.score_terms(fitted.weights, index.tfidf_queries(cases(spark, d), fitted))
+    return shown(retrieve.top_documents(scored, chunks(spark, d), K_SEARCH, names(spark, d)))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -87,12 +113,15 @@ def search_embedding(spark: SparkSession, d: str) -> DataFrame:
     return shown(retrieve.embedding_search(vectors(spark, d), queries, K_SEARCH)).select("query_id", "rank", "id", "score")
 
 
+def embedding_hits(spark: SparkSession, d: str, k: int = K_SEARCH) -> DataFrame:
+    """Prompts by the vector of the prompt's id."""
+    queries = cases(spark, d).join(vectors(spark, d), F.col("query_id") == F.col("id")).select("query_id", "vector")
+    return retrieve.embedding_search(vectors(spark, d), queries, k, chunks(spark, d), names(spark, d))
+
+
 def search_hybrid(spark: SparkSession, d: str, k: int = K_SEARCH) -> DataFrame:
     """Prompts by BM25 over all chunks, and by the vector of the prompt's id over all vectors, fused."""
-    store, named = chunks(spark, d), names(spark, d)
-    queries = cases(spark, d).join(vectors(spark, d), F.col("query_id") == F.col("id")).select("query_id", "vector")
-    by_vector = retrieve.embedding_search(vectors(spark, d), queries, 4 * k, store, named)
-    fused = retrieve.fuse(bm25_hits(spark, d, 4 * k), by_vector, k)
+    fused = retrieve.fuse(bm25_hits(spark, d, 4 * k), embedding_hits(spark, d, 4 * k), k)
     return fused.select("query_id", "rank", "id", F.round("score", 9).alias("score"), F.round("share", 6).alias("share"))
 
 
@@ -106,7 +135,7 @@ def author_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def score_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels, colours and position badges of the keyword and TF-IDF hits."""
-    store = read_table(spark, d, "chunk_metadata").groupBy("id").agg(*(F.first(c).alias(c) for c in ("page", "chunk_pos", "doc_chunk_count")))
+    store = chunks(spark, d).select("id", "page", "chunk_pos", "doc_chunk_count")
     columns = ["query_id", "rank", "id", "score", "boost", "mode"]
     both = keyword_hits(spark, d).withColumn("mode", F.lit("keyword")).select(columns).unionByName(tfidf_hits(spark, d).withColumn("mode", F.lit("semantic")).select(columns))
     mode, score = F.col("mode"), F.round("score", 9)
@@ -114,28 +143,31 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
     return both.join(store, "id").select("query_id", "mode", "rank", "id", X.score_label(mode, score, F.col("boost")).alias("label"), X.score_color(mode, score).alias("color"), badge.alias("badge"))
 
 
-def run_hits(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    """The ``k`` best hits of every run in ``results``: a top-k report."""
+def run_hits(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """The hits of every run in ``results`` by score: all of them, or the first ``k``."""
     rows = index.once_per_key(read_table(spark, d, "results"), "result_id", "run_id", "id", "relevance_score")
     scored = rows.where(F.col("relevance_score").isNotNull() & ~F.isnan("relevance_score") & F.col("run_id").isNotNull()).select(F.col("run_id").alias("query_id"), "id", "result_id", F.col("relevance_score").alias("score"))
-    return retrieve.first_k(scored, k, F.asc("result_id")).select("query_id", "rank", "id", "score")
+    return retrieve.first_k(scored, k or 1 << 30, F.asc("result_id")).select("query_id", "rank", "id", "score")
 
 
-def windows(spark: SparkSession, d: str) -> DataFrame:
-    store = chunks(spark, d)
-    return assemble.context_windows(run_hits(spark, d).select("query_id", "rank", "id"), assemble.positions(store), 1)
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.positions(chunks(spark, d))
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    return windows(spark, d).select("query_id", "rank", "id", "offset", "near_id")
+    """All hits of every run with the chunks beside them."""
+    return assemble.neighbours(run_hits(spark, d).select("query_id", "rank", "id"), placed(spark, d), 1).select("query_id", "rank", "id", "offset", "near_id")
 
 
-def grouped(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(assemble.group_context(windows(spark, d)))
+def grouped(spark: SparkSession, d: str, k: int | None = K_REPORT, width: int = assemble.window_width(5)) -> DataFrame:
+    """The context of every run by document: of a report unless ``k`` and ``width`` say otherwise."""
+    hits = run_hits(spark, d, k).select("query_id", "rank", "id")
+    return materialize(assemble.group_context(assemble.context_windows(hits, placed(spark, d), chunks(spark, d), width)))
 
 
 def context_group(spark: SparkSession, d: str) -> DataFrame:
-    return grouped(spark, d).select("query_id", "doc_name", "doc_ord", F.size("texts").alias("texts"), F.md5(F.array_join("texts", assemble.GAP)).alias("digest"))
+    """The context of all hits of every run."""
+    return grouped(spark, d, None, 1).select("query_id", "doc_name", "doc_ord", F.size("texts").alias("texts"), F.md5(F.array_join("texts", assemble.GAP)).alias("digest"))
 
 
 def run_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +187,8 @@ def report_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def appendix(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.appendix(assemble.number_references(grouped(spark, d)))
+    rows = assemble.appendix(assemble.number_references(grouped(spark, d)))
+    return rows.select("query_id", "ref", "doc_name", F.length("body").alias("characters"), F.md5("body").alias("digest"))
 
 
 def chat_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -164,13 +197,13 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
     turns = runs.join(read_table(spark, d, "eval_cases").select(F.col("id").alias("eval_id"), F.col("prompt").alias("content")), "eval_id")
     latest = runs.groupBy("eval_id").agg(F.max_by("run_id", F.struct("run_at", "run_id")).alias("latest"))
     turns = turns.join(latest, "eval_id").select(F.col("eval_id").alias("session_id"), F.struct("run_at", "run_id").alias("turn"), F.lit("user").alias("role"), "content", F.when(F.col("run_id") == F.col("latest"), F.col("run_id")).alias("query_id"))
-    contexts = assemble.context_text(assemble.number_references(grouped(spark, d)), with_numbers=False)
+    contexts = assemble.context_text(assemble.number_references(grouped(spark, d, K_CHAT, 1)), with_numbers=False)
     made = assemble.chat_messages(contexts, turns)
     return made.select("session_id", F.size("messages").alias("messages"), F.md5(F.element_at("messages", -1)["content"]).alias("last_digest"))
 
 
 def chat_sources(spark: SparkSession, d: str) -> DataFrame:
-    hits = run_hits(spark, d).join(chunks(spark, d).select("id", "doc_name", "text"), "id").where("doc_name is not null")
+    hits = run_hits(spark, d, K_CHAT).join(chunks(spark, d).select("id", "doc_name", "text"), "id").where("doc_name is not null")
     return assemble.source_list(hits)
 
 
@@ -201,11 +234,23 @@ def search(spark: SparkSession, d: str, mode: str | None) -> DataFrame:
     return plans.get(retrieve.mode_of(mode), search_combined)(spark, d)
 
 
+def mode_hits(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """``query_id, rank, id``: the hits of all prompts in a mode."""
+    searches = {
+        "top-docs": search_top_docs,
+        "semantic": tfidf_hits,
+        "keyword": keyword_hits,
+        "embedding": embedding_hits,
+        "hybrid": search_hybrid,
+    }
+    return searches.get(mode, search_combined)(spark, d).select("query_id", "rank", "id")
+
+
 def run_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The mode each run was dispatched to, with its number of distinct hits."""
-    runs = read_table(spark, d, "eval_runs").select("run_id", retrieve.mode_column(F.col("mode_name")).alias("mode"))
-    hits = read_table(spark, d, "results").groupBy("run_id").agg(F.count_distinct("result_id").alias("hits"))
-    return runs.join(hits, "run_id", "left").select("run_id", "mode", F.coalesce("hits", F.lit(0)).alias("hits"))
+    """Every run's prompt searched in the run's mode: ``run_id, mode, rank, id``."""
+    runs = read_table(spark, d, "eval_runs").select("run_id", F.col("eval_id").cast("bigint").alias("query_id"), retrieve.mode_column(F.col("mode_name")).alias("mode"))
+    hits = reduce(DataFrame.unionByName, [mode_hits(spark, d, m).withColumn("mode", F.lit(m)) for m in (*retrieve.MODES, retrieve.mode_of(None))])
+    return runs.join(hits, ["query_id", "mode"]).select("run_id", "mode", "rank", "id")
 
 
 def report_files(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions.text import is_skipped
+from lectern.operators.index import Weighted
 from lectern.sources import schemas
 
 
@@ -70,6 +71,23 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHUNK).parquet(path)
 
 
+def load_model(spark: SparkSession, path: str, name: str) -> Weighted:
+    """A model of an index written by ``save_index``. A missing index raises; one of an empty store has no vocabulary and ``n`` 0."""
+    vocabulary = spark.read.parquet(f"{path}/{name}/vocabulary")
+    first = vocabulary.select("n").first()
+    return Weighted(spark.read.parquet(f"{path}/{name}/weights"), vocabulary.drop("n"), first["n"] if first else 0)
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk store of an index."""
+    return spark.read.parquet(f"{path}/chunks")
+
+
+def load_words(spark: SparkSession, path: str) -> DataFrame:
+    """The plain postings of an index."""
+    return spark.read.parquet(f"{path}/words")
+
+
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """The cases of an ``evals.json`` file."""
     from pyspark.sql.types import ArrayType, StructField, StructType

@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 from lectern.operators.index import Weighted
 
 
-def save_index(chunks: DataFrame, model: Weighted, path: str) -> None:
-    """Chunks, vocabulary with idf, and postings sorted by term, so that a search reads the row groups of its terms."""
+def _by_term(rows: DataFrame) -> DataFrame:
+    """Rows in the order of their terms, so that a search reads only the row groups of its terms."""
+    return rows.repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
+def save_index(chunks: DataFrame, models: dict[str, Weighted], path: str, words: DataFrame | None = None) -> None:
+    """An index below ``path``: the chunk store, and for each named model its postings, vocabulary and number of chunks; with
+    ``words (id, term, tf)`` also the plain postings that keyword search uses. Overwrites what is there."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    model.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    model.weights.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    for name, model in models.items():
+        _by_term(model.weights).write.mode("overwrite").parquet(f"{path}/{name}/weights")
+        model.vocabulary.withColumn("n", F.lit(model.n).cast("bigint")).write.mode("overwrite").parquet(f"{path}/{name}/vocabulary")
+    if words is not None:
+        _by_term(words).write.mode("overwrite").parquet(f"{path}/words")
 
 
 def build_embeddings(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
@@ -36,8 +45,11 @@ def text_files(transcripts: DataFrame) -> DataFrame:
     return transcripts.groupBy("file_name").agg(F.max_by("text", "path").alias("text"), F.count("*").alias("copies"))
 
 
-def write_texts(files: DataFrame, path: str) -> None:
-    """One text file for each row ``(file_name, text)``, written by the tasks into a folder they share."""
+def write_texts(files: DataFrame, path: str, dry_run: bool = False) -> int | None:
+    """One text file for each row ``(file_name, text)``, written by the tasks into a folder they share. A dry run writes nothing
+    and gives the number of files."""
+    if dry_run:
+        return files.count()
 
     def write(rows) -> None:
         import os

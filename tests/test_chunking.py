@@ -48,3 +48,23 @@ def test_global_number_is_consecutive(spark):
     got = chunking.with_global_number(df, ["x"], "n").collect()
     assert sorted((r["x"], r["n"]) for r in got) == [(k, k) for k in range(1000)]
     assert chunking.with_global_number(df.where("false"), ["x"], "n").count() == 0
+
+
+def test_running_numbers(spark):
+    rows = [(k % 7, k, k % 4) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, k int, n int").repartition(5)
+    numbered = {r["k"]: r["no"] for r in chunking.with_global_number(df, ["g", "k"], "no").collect()}
+    summed = {r["k"]: r["before"] for r in chunking.running_total(df, ["g", "k"], "n", "before").collect()}
+    total = 0
+    for no, (_, k, n) in enumerate(sorted(rows)):
+        assert numbered[k] == no and summed[k] == total
+        total += n
+    assert chunking.with_global_number(df.where("false"), ["g", "k"], "no").count() == 0
+    assert chunking.running_total(df.where("false"), ["g", "k"], "n", "before").count() == 0
+
+
+def test_positions_of_documents_that_share_a_name(spark):
+    rows = [(1, "One. Two.", "txt", "p2", "a"), (2, "Three.", "pdf", "p1", "a"), (3, "Four.", "txt", "p1", None), (4, "Five.", "txt", None, None), (5, None, "txt", "p3", "a"), (6, "Six.", "txt", "p9", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, path string, doc_name string")
+    got = [(r["id"], r["doc_name"], r["text"], r["chunk_pos"], r["doc_chunk_count"]) for r in chunking.chunk_table(df).orderBy("id").collect()]
+    assert got == [(0, None, "Five.", 1, 2), (1, None, "Four.", 2, 2), (2, "a", "One. Two.", 1, 3), (3, "a", "Six.", 2, 3), (4, "a", "Three.", 3, 3)]

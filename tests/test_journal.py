@@ -48,3 +48,36 @@ def test_ocr_and_names(spark):
     assert got == [(7, "A Fine Title", "Lee"), (19, "Other Title", "Unknown")]
     names = spark.createDataFrame([("Reviewed by: Bo Ray, PhD, LCSW",), ("Ann Lee and Bo Ray",), ("PhD",)], "a string").select(journal.last_name(__import__("pyspark").sql.functions.col("a")).alias("x"))
     assert [r["x"] for r in names.collect()] == ["Ray", "Lee", "Unknown"]
+
+
+def test_labels_and_the_editors_piece(spark):
+    df = spark.createDataFrame([("i", "SECOND PANEL OF PRESENTATIONS\nAnn B. Lee, MSW\t4\nA Plain Title\t9\nBo Ray, MSAT\nIN MEMORIAM\nReview of Lee, PhD\t12")], "issue string, text string")
+    tokens = journal.toc_tokens(df, "issue", "text")
+    assert [r["type"] for r in tokens.orderBy("pos").collect()] == ["HEADER", "TAB", "PAGE", "TAB", "PAGE", "TEXT", "HEADER", "TAB", "PAGE"]
+    got = [tuple(r) for r in journal.toc_entries(tokens, "issue").orderBy("ord").select("title", "author", "page").collect()]
+    assert got == [("FROM THE EDITOR", "Lee", 4), ("A Plain Title", "Ray", 9), ("Review of Lee, PhD", "Unknown", 12)]
+
+
+def test_corrections(spark):
+    entries = spark.createDataFrame([("i", 7, "A Fme Title", "Lee"), ("i", 9, "Other", "Ray")], "issue string, page int, title string, author string")
+    fixed = spark.createDataFrame([("i", 7, "A Fine Title", "Lee"), ("i", 7, "B", "Lee"), ("i", 30, "Lost", "Fox")], "issue string, page int, title string, author string")
+    got = sorted(tuple(r) for r in journal.corrected_entries(entries, fixed, "issue").collect())
+    assert got == [("i", 7, "A Fine Title", "Lee"), ("i", 9, "Other", "Ray"), ("i", 30, "Lost", "Fox")]
+
+
+def test_issue_contents(spark):
+    pages = spark.createDataFrame([("a", 0, "CONTENTS"), ("a", 1, "x"), ("a", 2, None), ("b", 0, "y")], "doc string, pdf int, text string")
+    issues = spark.createDataFrame([("a", [1, 0, 2, 9], "TAB", None), ("b", [0], "OCR", True), ("c", [0], "TAB", False)], "issue string, toc_pages array<int>, toc_format string, skip boolean")
+    assert [tuple(r) for r in journal.issue_contents(issues, pages, "doc", "pdf", "text").collect()] == [("a", "TAB", "x\nCONTENTS")]
+
+
+def test_article_records(spark):
+    articles = spark.createDataFrame([("4.1", 1, "The Calm", "Lee"), ("4.1", 2, "Storm", "Ray"), ("4.1", 3, "Lost", "Fox")], "issue string, ord int, title string, author string")
+    extents = spark.createDataFrame([("4.1", 1, 5, 8), ("4.1", 2, 9, 9)], "issue string, ord int, start_page int, end_page int")
+    texts = spark.createDataFrame([("4.1", 1, "Body")], "issue string, ord int, text string")
+    got = [tuple(r)[2:] for r in journal.article_records(articles, extents, texts, "Journal").orderBy("ord").collect()]
+    assert got == [
+        ("Journal 4.1 Lee Calm.txt", "Journal Vol. 4.1\nTitle: The Calm\nAuthor: Lee\nPages: 5-8\n\nBody", None),
+        ("Journal 4.1 Ray Storm.txt", "Journal Vol. 4.1\nTitle: Storm\nAuthor: Ray\nPages: 9-9\n\n", "empty"),
+        ("Journal 4.1 Fox Lost.txt", None, "unmapped"),
+    ]

@@ -31,6 +31,24 @@ def test_embedding_search_skips_bad_vectors(spark):
     assert retrieve.embedding_search(vectors, queries.where("false"), 5).count() == 0
 
 
+def test_boosted_vectors_keep_k_rows(spark):
+    """A boost is applied before the cut, and batches put out no more than k rows a query."""
+    vectors = spark.createDataFrame([(k, [1.0, k / 100]) for k in range(200)], "id bigint, vector array<float>").repartition(2)
+    docs = spark.createDataFrame([(k, "a" if k % 2 else "b") for k in range(200)], "id bigint, doc_name string")
+    boosts = spark.createDataFrame([("a", 3.0)], "doc_name string, boost double")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, vector array<float>")
+    got = [(r["query_id"], r["rank"], r["id"]) for r in retrieve.embedding_search(vectors, queries, 3, docs, boosts).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 2, 3), (1, 3, 5), (2, 1, 199), (2, 2, 197), (2, 3, 195)]
+
+
+def test_keyword_search_by_postings_equals_that_by_texts(spark):
+    chunks = chunk_rows(spark, [(1, "d", "Emotional cutoff, cut-off; uncut aaa"), (2, "e", "CUT cuts é_cut"), (3, "f", None), (4, "g", "x-ray aa aaaa")])
+    queries = spark.createDataFrame([(1, "cut cuts"), (2, '"cut-off" emotional'), (3, "aaa x-ray"), (4, "cutting")], "query_id bigint, query string")
+    plain = sorted(map(tuple, retrieve.keyword_search(chunks, queries, 5).collect()))
+    assert plain == sorted(map(tuple, retrieve.keyword_search(chunks, queries, 5, posted=index.all_words(chunks)).collect()))
+    assert {r[0] for r in plain} >= {1, 2, 3}
+
+
 def test_batch_equals_single_queries(spark):
     chunks = chunk_rows(spark, [(k, f"d{k % 3}", "alpha beta " * (k % 4) + f"gamma delta{k % 5} common") for k in range(40)])
     queries = spark.createDataFrame([(1, "alpha gamma"), (2, "delta1 beta beta"), (3, "unknown")], "query_id bigint, query string")
@@ -55,7 +73,7 @@ def test_tfidf_rows_have_length_one_and_empty_tables_work(spark):
 def test_windows_and_groups(spark):
     chunks = chunk_rows(spark, [(1, "d", "a"), (2, "d", "b"), (3, "e", "c"), (4, "d", "b"), (5, None, "x"), (6, "e", None)])
     hits = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 5)], "query_id bigint, rank int, id bigint")
-    near = assemble.context_windows(hits, assemble.positions(chunks), 1)
+    near = assemble.context_windows(hits, assemble.positions(chunks), chunks, 1)
     assert sorted((r["id"], r["offset"], r["near_id"]) for r in near.collect()) == [(2, -1, 1), (2, 0, 2), (2, 1, 4), (3, 0, 3), (3, 1, 6)]
     groups = {r["doc_name"]: (r["doc_ord"], r["texts"]) for r in assemble.group_context(near).collect()}
     assert groups == {"d": (1, ["a", "b"]), "e": (2, ["c", None])}

@@ -53,12 +53,24 @@ def test_eval_cases_and_transcripts(spark, tmp_path):
     assert [(r["file_name"], r["sections"], r["words"]) for r in got] == [("T.txt", 1, 7)]
     writers.write_texts(got and spark.createDataFrame(got).withColumnRenamed("stem", "path").select("file_name", "text"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "T.txt").read_text().startswith("## Section 1")
+    files = spark.createDataFrame([("a.txt", "x"), ("b.txt", None)], "file_name string, text string")
+    assert writers.write_texts(files, str(tmp_path / "dry"), dry_run=True) == 2 and not (tmp_path / "dry").exists()
 
 
 def test_index_and_embeddings(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "red green"), (2, "red blue"), (3, None)], "id bigint, text string")
-    writers.save_index(chunks, index.bm25(chunks), str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i" / "postings")).count() == 4
+    fitted = index.bm25(chunks)
+    path = str(tmp_path / "i")
+    writers.save_index(chunks, {"bm25": fitted}, path, index.all_words(chunks))
+    loaded = readers.load_model(spark, path, "bm25")
+    assert loaded.n == 3 and sorted(map(tuple, loaded.weights.collect())) == sorted(map(tuple, fitted.weights.collect()))
+    assert sorted(map(tuple, loaded.vocabulary.collect())) == sorted(map(tuple, fitted.vocabulary.collect()))
+    assert readers.load_chunks(spark, path).count() == 3 and readers.load_words(spark, path).count() == 4
+    empty = chunks.where("false")
+    writers.save_index(empty, {"tfidf": index.tfidf(empty)}, path)
+    assert readers.load_model(spark, path, "tfidf").n == 0
+    row = index.index_metrics(chunks.withColumn("doc_name", F.lit("d")), fitted.vocabulary).first()
+    assert tuple(row) == (3, 1, 3, 0, False, False)
     vectors = writers.build_embeddings(chunks, lambda: lambda texts: [[float(len(t))] for t in texts]).collect()
     assert {r["chunk_id"]: list(r["embedding"]) for r in vectors} == {1: [9.0], 2: [8.0], 3: [0.0]}
 
