@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def word_characters() -> np.ndarray:
     """For every code point whether it is a letter or number (Unicode categories L and N)."""
     if "words" not in _cache:
-        _cache["words"] = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        _cache["words"] = np.fromiter(map(str.isalnum, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
     return _cache["words"]
 
 
@@ -61,15 +60,23 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word (maximal run of letters and numbers) of the texts as given, and the text it stands in."""
-    flat, begin = code_points(texts)
+def word_spans(flat: np.ndarray, begin: np.ndarray, also: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word (maximal run of letters, numbers and the characters ``also``), none across texts."""
     is_word = word_characters()[flat]
+    for c in also:
+        is_word |= flat == ord(c)
     edge = np.zeros(len(flat) + 1, bool)
     edge[begin] = True
     inner = is_word[1:] & is_word[:-1] & ~edge[1:-1]
     start = np.flatnonzero(is_word & ~np.concatenate([[False], inner])) if len(flat) else np.zeros(0, np.int64)
     end = np.flatnonzero(is_word & ~np.concatenate([inner, [False]])) + 1 if len(flat) else np.zeros(0, np.int64)
+    return start, end
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word (maximal run of letters and numbers) of the texts as given, and the text it stands in."""
+    flat, begin = code_points(texts)
+    start, end = word_spans(flat, begin)
     return span_hash(prefix_sums(flat), start, end), np.searchsorted(begin, start, "right") - 1
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.common import materialize, small_batches, spread
+from lectern.llm.points import code_points, packed_bits, prefix_sums, span_hash, word_spans
 
 #: Distances in words between the starts of two equal word pairs that count as tight.
 LAGS = (2, 3, 4)
@@ -102,7 +102,7 @@ def list_of_terms(text: str) -> bool:
     low = text.lower()
     words = _WORD.findall(low)
     n = len(words)
-    if n < LIST_WORDS or sum(w in FUNCTION_WORDS for w in words) > FUNCTION_SHARE * n or sum(not w.isalpha() for w in words) > DIGIT_SHARE * n:
+    if n < LIST_WORDS or sum(map(FUNCTION_WORDS.__contains__, words)) > FUNCTION_SHARE * n or n - sum(map(str.isalpha, words)) > DIGIT_SHARE * n:
         return False
     items = [tuple(w) for i in _ITEM.split(low) if (w := _WORD.findall(i))]
     if len(items) < LIST_ITEMS or len(set(items)) < DISTINCT_SHARE * len(items) or sum(len(i) for i in items if len(i) <= ITEM_WORDS) < IN_ITEMS * n:
@@ -132,14 +132,16 @@ def _few_function_words(word: np.ndarray, sizes: np.ndarray, ids: dict[str, int]
 
 
 def _pairs(texts: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts in a row: for each word but the last a code of it and its follower, the number of the text they
+    """Of all texts in a row, whose words are numbered in ``ids`` (empty before): for each word but the last a code of it and its follower, the number of the text they
     lie in (-1 across texts), and a code of the word alone; and the number of words of each text."""
-    words = [_WORD.findall(t.lower()) for t in texts]
-    for w in set().union(*words):
-        ids.setdefault(w, len(ids))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    of = np.repeat(np.arange(len(texts)), sizes)
-    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, len(of))
+    low = [t.lower() for t in texts]
+    points, begin = code_points(low)
+    start, end = word_spans(points, begin, "_")
+    of = np.searchsorted(begin, start, "right") - 1
+    sizes = np.bincount(of, minlength=len(texts))
+    _, first, flat = np.unique(span_hash(prefix_sums(points), start, end), return_index=True, return_inverse=True)
+    joined = "".join(low)
+    ids.update((joined[a:b], k) for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)))
     if len(flat) < 2:
         return *(np.zeros(0, np.int64),) * 3, sizes
     pair = (flat[:-1] << 32) | flat[1:]
@@ -253,14 +255,10 @@ def _bits_of(code: np.ndarray, ids: dict[str, int]) -> np.ndarray:
 
 
 def _bit_map(phrases: DataFrame) -> np.ndarray:
-    """The packed map of the bits of ``phrase``, put together by Spark in blocks of 4 KB."""
+    """The packed map of the bits of ``phrase``."""
     words = F.split("phrase", " ")
-    bit = (F.crc32(words[0]) * 31 + F.crc32(F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))) % PHRASE_BITS + 1
-    blocks = phrases.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    packed = np.zeros((PHRASE_BITS // 32768, 4096), np.uint8)
-    for r in blocks.toLocalIterator():
-        packed[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return packed.reshape(-1)
+    bit = (F.crc32(words[0]) * 31 + F.crc32(F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))) % PHRASE_BITS
+    return packed_bits(phrases.select(bit.alias("bit")), PHRASE_BITS)
 
 
 def _mapped(code: np.ndarray, packed: np.ndarray, ids: dict[str, int]) -> np.ndarray:
@@ -297,13 +295,15 @@ def marked_share(text: str, phrases: set[str]) -> float:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    links = [m.span() for m in _LINK.finditer(low)]
+    links, lists = [m.span() for m in _LINK.finditer(low)], _lists(low)
+    if not (links or lists or phrases):
+        return 0.0
     spans, marks, at = [], [], 0
     for start, end in [*links, (len(low), len(low))]:
         first = len(spans)
         spans += [m.span() for m in _WORD.finditer(low, at, max(at, start))]
         marks += [False] * (len(spans) - first)
-        words = [low[a:b] for a, b in spans[first:]]
+        words = [low[a:b] for a, b in spans[first:]] if phrases else []
         for k, (a, b) in enumerate(zip(words, [*words[1:], ""], strict=False), first):
             if b and f"{a} {b}" in phrases:
                 marks[k] = marks[k + 1] = True
@@ -313,8 +313,7 @@ def marked_share(text: str, phrases: set[str]) -> float:
             spans.append((start, end))
             marks.append(True)
             at = end
-    lists = _lists(low)
-    on = [k for k, m in enumerate(marks) if m or any(a <= spans[k][0] < b for a, b in lists)]
+    on = [k for k, m in enumerate(marks) if m or lists and any(a <= spans[k][0] < b for a, b in lists)]
     if not on:
         return 0.0
     first, last = on[0], on[-1]
