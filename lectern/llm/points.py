@@ -31,7 +31,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_characters() -> np.ndarray:
-    """For every code point whether it is a letter or number (Unicode categories L and N)."""
+    """For every code point whether it is a letter or number (Unicode categories L and N, which is what ``isalnum`` tells)."""
     if "words" not in _cache:
         _cache["words"] = np.fromiter(map(str.isalnum, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
     return _cache["words"]
@@ -100,6 +100,17 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return joint[new], of[new], counts
 
 
+#: Rows that one task gets of a shuffle by name, about 100 MB of them.
+TASK_ROWS = 3_000_000
+
+
+def parted(rows: DataFrame, column: str, amount: int) -> DataFrame:
+    """``rows``, about ``amount``, partitioned by a column: in as many partitions as the session says or as their number needs."""
+    needed = -(-amount // TASK_ROWS)
+    more = needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(needed, column) if more else rows.repartition(column)
+
+
 def packed_bits(bits: DataFrame, size: int) -> np.ndarray:
     """A map of ``size`` bits (a multiple of 32,768), packed from the least bit of each byte, with the bits of column ``bit``
     set. Spark puts it together in blocks of 4 KB."""

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.common import materialize, small_batches, spread
-from lectern.llm.points import U, code_points, mix, prefix_sums, span_hash
+from lectern.llm.points import U, code_points, mix, parted, prefix_sums, span_hash
 
 #: Names that stand so often in a sample of so many texts, under two ids at least, are known to be shared beforehand, up to
 #: so many of them: those of a notice that stands in a large part of all texts.
 SAMPLE_TEXTS, HOT_TIMES, HOT_NAMES = 20_000, 8, 1 << 17
+#: Names expected of a text, by which the number of partitions is chosen.
+NAMES_EACH = 60
 
 
 def rounds_for(length: int) -> tuple[list[int], int, int, int]:
@@ -151,13 +153,13 @@ def _hot_names(docs: DataFrame, share: float, length: int, name_places) -> np.nd
     return np.sort(top.select("name").toPandas()["name"].to_numpy(np.int64).view(U))
 
 
-def _in_two(named: DataFrame) -> DataFrame:
+def _in_two(named: DataFrame, amount: int) -> DataFrame:
     """The rows whose name occurs under two ids, or is known to. No name's rows are gathered.
 
     The rows are made and shuffled once for both uses: the conditions that always hold keep their columns and
     filters alike, so that Spark reuses the exchange.
     """
-    rows = named.where("name is not null and id is not null and pos is not null").repartition("name")
+    rows = parted(named.where("name is not null and id is not null and pos is not null"), "name", amount)
     both = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("pos").alias("p"))
     shared = both.where("a < b or p < 0").select("name")
     return rows.join(shared, "name").select("id", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
@@ -174,11 +176,12 @@ def shared_spans(df: DataFrame, key: str = "id", text: str = "text", length: int
     if length < 1:
         raise ValueError("length must be positive")
     docs = spread(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.col(key).isNotNull() & (F.length(text) >= length)))
-    share = min(1.0, SAMPLE_TEXTS / max(df.count(), 1))
-    marks = _in_two(_seeds(docs, length, _hot_names(docs, share, length, _seeds))).groupBy("id").agg(F.collect_set("pos").alias("at"))
+    texts = df.count()
+    share = min(1.0, SAMPLE_TEXTS / max(texts, 1))
+    marks = _in_two(_seeds(docs, length, _hot_names(docs, share, length, _seeds)), texts * NAMES_EACH).groupBy("id").agg(F.collect_set("pos").alias("at"))
     marked = docs.join(marks, "id").groupBy("id").agg(F.first("t").alias("t"), F.first("at").alias("at"))
     marked = materialize(marked)
-    starts = _in_two(_windows(marked, length, _hot_names(marked, share, length, _windows))).distinct()
+    starts = _in_two(_windows(marked, length, _hot_names(marked, share, length, _windows)), texts * NAMES_EACH).distinct()
     by_pos = Window.partitionBy("id").orderBy("pos")
     runs = starts.withColumn("new", F.coalesce(F.col("pos") > F.lag("pos").over(by_pos) + length, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by_pos)).groupBy("id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
