@@ -34,17 +34,27 @@ def table(spark):
     return spark.createDataFrame([(*r, "kind") for r in rows], "id bigint, text string, doc_name string, page int, kind string")
 
 
-def test_kinds(table):
+@pytest.fixture(scope="module")
+def kinds(table):
+    return sorted(map(tuple, scans.scan_noise(table).collect()))
+
+
+@pytest.fixture(scope="module")
+def repaired(table):
+    return {r["id"]: r["text"] for r in scans.repair_scans(table).collect()}
+
+
+def test_kinds(kinds):
     got = {}
-    for r in scans.scan_noise(table).collect():
-        got.setdefault(r["id"], set()).add(r["kind"])
+    for k, kind in kinds:
+        got.setdefault(k, set()).add(kind)
     assert {k: v for k, v in got.items() if k < 400} == {}
     assert all(got[400 + k] == {"header"} for k in range(6))
     assert {k: v for k, v in got.items() if k >= 500} == {500: {"hyphen"}, 501: {"char"}, 502: {"pageno"}, 505: {"hyphen", "pageno"}, 509: {"header", "pageno"}}
 
 
-def test_repair(table):
-    got = {r["id"]: r["text"] for r in scans.repair_scans(table).collect()}
+def test_repair(repaired):
+    got = repaired
     assert got[500] == "The mother quietly recorded the letter of the half-sister during winter."
     assert got[501] == "The family measured the village during winter."
     assert got[502] == "The mother measured the village during winter."
@@ -61,13 +71,12 @@ def test_distance_and_index(spark):
     assert got == {"farnily": ["family"], "vi1lage": ["village"], "v111age": ["vlllage"]}
 
 
-def test_words_beyond_the_known_ones(spark, table, monkeypatch):
+def test_words_beyond_the_known_ones(table, kinds, repaired, monkeypatch):
     """What is found doesn't depend on how many words the tasks know beforehand."""
-    wanted = sorted(map(tuple, scans.scan_noise(table).collect()))
-    texts = sorted((r["id"], r["text"]) for r in scans.repair_scans(table).collect())
     monkeypatch.setattr(scans, "KNOWN_WORDS", 3)
-    assert sorted(map(tuple, scans.scan_noise(table).collect())) == wanted
-    assert sorted((r["id"], r["text"]) for r in scans.repair_scans(table).collect()) == texts
+    rows = scans.repair_scans(table).collect()
+    assert {r["id"]: r["text"] for r in rows} == repaired
+    assert sorted((r["id"], k) for r in rows for k in r["kinds"]) == kinds
 
 
 def test_empty(spark, table):
