@@ -38,11 +38,16 @@ def window_width(chunks_per_document: int) -> int:
     return max(0, (chunks_per_document - 1) // 2)
 
 
-def group_context(windows: DataFrame) -> DataFrame:
-    """``query_id, doc_name, doc_ord, texts``: the window texts of each query by document, each text once a document in
-    order of rank and offset, documents numbered from 1 in the order of their first appearance."""
-    first = windows.groupBy("query_id", "doc_name", "near_text").agg(F.min(F.struct("rank", "offset")).alias("at"))
-    docs = first.groupBy("query_id", "doc_name").agg(F.min("at").alias("at"), F.transform(F.sort_array(F.collect_list(F.struct("at", "near_text"))), lambda x: x["near_text"]).alias("texts"))
+def group_context(near: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, doc_name, doc_ord, texts``: the texts of ``neighbours`` of each query by document, each text once a document in
+    order of rank and offset, documents numbered from 1 in the order of their first appearance.
+
+    Equal texts are told by a digest, so that texts are joined and shuffled once, with what is left."""
+    place = F.col("rank").cast("bigint") * 4096 + F.col("offset") + 2048
+    told = near.join(chunks.select(F.col("id").alias("near_id"), F.md5("text").alias("digest")), "near_id").select("query_id", "doc_name", "digest", "near_id", place.alias("at"))
+    first = told.groupBy("query_id", "doc_name", "digest").agg(F.min("at").alias("at"), F.min_by("near_id", "at").alias("near_id"))
+    texts = first.join(chunks.select(F.col("id").alias("near_id"), "text"), "near_id")
+    docs = texts.groupBy("query_id", "doc_name").agg(F.min("at").alias("at"), F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("texts"))
     order = Window.partitionBy("query_id").orderBy("at", "doc_name")
     return docs.withColumn("doc_ord", F.row_number().over(order)).select("query_id", "doc_name", "doc_ord", "texts")
 

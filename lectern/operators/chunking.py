@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.common import materialize
+from lectern.common import materialize, spread
 from lectern.functions.text import NOT_SPACE, SPACE, has_sections, strip
 
 _HEADING = r"\n(## Section [0-9]+ – [^\n]+)\n"
@@ -106,7 +106,7 @@ def chunk_arrays(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """``key, chunks array<struct<section_title, text, page>>``: every document with its chunks, by section if it has one,
     else by sentences. A text whose only headings lack the dash after the number counts as sectioned and has no chunk."""
     sectioned = has_sections(F.col(text))
-    rows = df.select(key, F.when(sectioned, _sections(F.col(text))).alias("_sections"), F.when(~sectioned, sentences(F.col(text))).alias("_s"))
+    rows = spread(df).select(key, F.when(sectioned, _sections(F.col(text))).alias("_sections"), F.when(~sectioned, sentences(F.col(text))).alias("_s"))
     return rows.select(key, F.coalesce("_sections", _packs(F.col("_s"), size, overlap), F.array().cast("array<struct<section_title:string,text:string,page:int>>")).alias("chunks"))
 
 

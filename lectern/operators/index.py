@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.common import materialize, once_per_key
+from lectern.common import materialize, once_per_key, spread
 from lectern.functions.text import STOP_WORDS, tokens, with_bigrams
 
 
@@ -19,7 +19,7 @@ def chunks_once(chunks: DataFrame, *columns: str) -> DataFrame:
 def postings(chunks: DataFrame, stop_words=STOP_WORDS, bigrams: bool = False, least: int = 3) -> DataFrame:
     """``id, term, tf`` of ``chunks (id, text)``; null and empty texts have none."""
     words = tokens(F.col("text"), stop_words, least)
-    return chunks.select("id", F.explode(with_bigrams(words) if bigrams else words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return spread(chunks.select("id", "text")).select("id", F.explode(with_bigrams(words) if bigrams else words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(posted: DataFrame) -> DataFrame:
@@ -67,14 +67,15 @@ def tfidf_queries(queries: DataFrame, model: Weighted, stop_words=STOP_WORDS) ->
     return _unit_rows(posted, model.vocabulary).withColumnRenamed("id", "query_id")
 
 
-def bm25(chunks: DataFrame, stop_words=STOP_WORDS, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Weighted:
+def bm25(chunks: DataFrame, stop_words=STOP_WORDS, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, words: DataFrame | None = None) -> Weighted:
     """BM25 weights: a query's score of a chunk is the sum of the weights of the query's words, repeats included.
 
     A negative idf is replaced by ``epsilon`` times the mean idf of all terms, negative ones included. Chunk lengths
-    count the words after filtering; chunks without words count towards the mean length.
+    count the words after filtering; chunks without words count towards the mean length. ``words`` are the chunks'
+    ``all_words`` where they are at hand, so that texts aren't split again.
     """
     n = chunks.count()
-    posted = materialize(postings(chunks, stop_words))
+    posted = materialize(postings(chunks, stop_words)) if words is None else words.where((F.length("term") >= 3) & ~F.col("term").isin(*stop_words))
     lengths = posted.groupBy("id").agg(F.sum("tf").alias("dl"))
     mean_length = (lengths.agg(F.sum("dl")).first()[0] or 0) / max(n, 1)
     terms = term_statistics(posted).withColumn("raw", F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.common import spread
 from lectern.functions.text import STOP_WORDS, SPACE, occurrences, stems
 
 #: Distinct word variants counted in one pass over the texts, and query vectors scored in one pass over the vectors.
@@ -115,7 +116,7 @@ def embedding_search(vectors: DataFrame, queries: DataFrame, k: int, doc_of: Dat
     """
     found = []
     rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id")
-    weighed = boosted(vectors.select("id", "vector", F.lit(1.0).alias("score")), doc_of, boosts).select("id", "vector", "boost")
+    weighed = spread(boosted(vectors.select("id", "vector", F.lit(1.0).alias("score")), doc_of, boosts).select("id", "vector", "boost"))
     for block in _blocks(rows, VECTOR_BLOCK):
         ids = block["query_id"].to_numpy()
         matrix = np.array([np.asarray(v, float) for v in block["vector"]])

@@ -13,8 +13,8 @@ __all__ = ["ORACLES", "QUERIES"]
 
 _CORPUS = (
     "chunk_sentences chunk_pack section_chunks chunk_table chunk_positions corpus_stats list_documents doc_catalogue "
-    "known_authors tokenize_bm25 term_df tfidf_vocab tfidf_weights stored_weights index_metrics stale_embeddings excerpts formatted_chunks view_source "
-    "frontmatter transcripts normalized_texts toc_tokens toc_entries toc_files ocr_entries page_map nearest_page "
+    "known_authors tokenize_bm25 term_df tfidf_vocab tfidf_weights stored_weights index_metrics embedded_chunks stale_embeddings excerpts formatted_chunks view_source "
+    "frontmatter transcripts transcript_files normalized_texts toc_tokens toc_entries toc_files ocr_entries page_map nearest_page "
     "article_extents article_text article_records issue_contents tier_rollup"
 )
 _SEARCH = (

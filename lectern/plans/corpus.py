@@ -10,6 +10,7 @@ from lectern.functions import rules
 from lectern.functions import text as X
 from lectern.operators import assemble, chunking, index, journal
 from lectern.plans import search
+from lectern.sources import writers
 from lectern.sources.transcripts import import_transcripts
 
 
@@ -91,6 +92,16 @@ def stored_weights(spark: SparkSession, d: str) -> DataFrame:
     return search.model(spark, d, "bm25").weights.groupBy("term").agg(F.count("*").alias("chunks"), F.round(F.sum("weight"), 5).alias("total"))
 
 
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with the vector of an encoder that counts characters, spaces and line breaks."""
+
+    def encoder():
+        return lambda batch: [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in batch]
+
+    rows = writers.build_embeddings(texts(spark, d), encoder)
+    return rows.select("chunk_id", *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(("characters", "spaces", "breaks"))))
+
+
 def stale_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return index.stale_embeddings(read_table(spark, d, "chunk_metadata"), read_table(spark, d, "embeddings"))
 
@@ -119,6 +130,12 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("stem", "file_name", "sections", "words", F.md5("text").alias("digest"))
 
 
+def transcript_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of an import of all transcripts; of several with one name the last counts."""
+    rows = import_transcripts(documents(spark, d), "doc_name", "text").withColumn("path", F.concat_ws(" ", "stem", F.md5("text")))
+    return writers.text_files(rows).select("file_name", "copies", F.md5("text").alias("digest"))
+
+
 def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.md5(X.nfkc("text")).alias("digest"), F.length(X.nfkc("text")).alias("characters"))
 

@@ -235,6 +235,8 @@ ORACLES: dict[str, str] = {
     "term_df": f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT id, w AS term, count(*) AS tf FROM {_words('documents', 'doc_id', 'text')} GROUP BY 1, 2) GROUP BY 1",
     "tfidf_vocab": f"WITH {_CHUNKS}, {_TFIDF} SELECT term, df, total, round(idf, 6) AS idf FROM vocab",
     "tfidf_weights": f"WITH {_CHUNKS}, {_TFIDF} SELECT id, count(*) AS terms, round(sum(weight), 6) AS total FROM weights GROUP BY 1",
+    "embedded_chunks": f"""WITH {_CHUNKS}, t AS (SELECT id, coalesce(text, '') AS t FROM chunks)
+        SELECT id AS chunk_id, length(t)::DOUBLE AS characters, (length(t) - length(replace(t, ' ', '')))::DOUBLE AS spaces, (length(t) - length(replace(t, chr(10), '')))::DOUBLE AS breaks FROM t""",
     "stale_embeddings": "SELECT id AS key, 'embedding' AS missing FROM (SELECT DISTINCT id FROM chunk_metadata) WHERE id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'chunk' FROM embeddings WHERE vec_id NOT IN (SELECT id FROM chunk_metadata)",
     "excerpts": f"WITH {_CHUNKS} SELECT id, {_collapse('substr(text, 1, 220)')} AS excerpt FROM chunks",
     "formatted_chunks": rf"""WITH {_CHUNKS}, body AS (SELECT id, regexp_replace(text, '^\[[^\n\]]+\]\n\n', '') AS b FROM chunks),
@@ -250,6 +252,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, {_strip("regexp_replace(regexp_replace(title, '^[''" + chr(34) + "]+', ''), '_+$', '')")} AS t FROM ot) WHERE t <> ''""",
     "transcripts": rf"""WITH {_TRANSCRIPT} SELECT stem, substr({_collapse("regexp_replace(concat_ws(' - ', title, presenter, date), '[<>:" + chr(34) + "/\\\\|?*]', '', 'g')")}, 1, 200) || '.txt' AS file_name,
         length(regexp_replace(text, '(?m)^## Section [0-9]+', chr(1), 'g')) - length(replace(regexp_replace(text, '(?m)^## Section [0-9]+', chr(1), 'g'), chr(1), '')) AS sections, len(regexp_extract_all(text, '{_NWS}+')) AS words, md5(text) AS digest FROM heads""",
+    "transcript_files": rf"""WITH {_TRANSCRIPT} SELECT file_name, count(*) AS copies, md5(arg_max(text, stem || ' ' || md5(text))) AS digest FROM (SELECT stem, text, substr({_collapse("regexp_replace(concat_ws(' - ', title, presenter, date), '[<>:" + chr(34) + "/\\\\|?*]', '', 'g')")}, 1, 200) || '.txt' AS file_name FROM heads) GROUP BY 1""",
     "page_map": f"WITH {_CHUNKS}, {_PAGES} SELECT * FROM mapped",
     "nearest_page": f"WITH {_CHUNKS}, {_PAGES}, asked AS (SELECT issue, unnest(generate_series(a, b))::INT AS page FROM (SELECT issue, min(journal_page) AS a, max(journal_page) AS b FROM content GROUP BY 1)) SELECT * FROM {_nearest('asked')}",
     "article_extents": f"WITH {_CHUNKS}, {_PAGES}, {_EXTENTS} SELECT * FROM extents",

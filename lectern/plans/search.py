@@ -32,7 +32,8 @@ def stored_index(spark: SparkSession, d: str) -> str:
         path = f"{shared_dir(spark)}/lectern-index-{uuid.uuid4().hex}"
         store = materialize(index.chunks_once(read_table(spark, d, "chunk_metadata"), "doc_name", "text", "char_count", "page", "section_title", "chunk_pos", "doc_chunk_count"))
         texts = store.select("id", "text")
-        writers.save_index(store, {"tfidf": index.tfidf(texts), "bm25": index.bm25(texts)}, path, index.all_words(texts))
+        words = materialize(index.all_words(texts))
+        writers.save_index(store, {"tfidf": index.tfidf(texts), "bm25": index.bm25(texts, words=words)}, path, words)
         spark.range(1).write.parquet(f"{path}/done")
         _stored[key] = path
     return _stored[key]
@@ -162,7 +163,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 def grouped(spark: SparkSession, d: str, k: int | None = K_REPORT, width: int = assemble.window_width(5)) -> DataFrame:
     """The context of every run by document: of a report unless ``k`` and ``width`` say otherwise."""
     hits = run_hits(spark, d, k).select("query_id", "rank", "id")
-    return materialize(assemble.group_context(assemble.context_windows(hits, placed(spark, d), chunks(spark, d), width)))
+    return materialize(assemble.group_context(assemble.neighbours(hits, placed(spark, d), width), chunks(spark, d)))
 
 
 def context_group(spark: SparkSession, d: str) -> DataFrame:

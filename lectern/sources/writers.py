@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from lectern.operators.index import Weighted
 
 
+#: Parts in which the rows of one term are written, so that no task has all rows of a term that stands everywhere.
+TERM_PARTS = 8
+
+
 def _by_term(rows: DataFrame) -> DataFrame:
-    """Rows in the order of their terms, so that a search reads only the row groups of its terms."""
-    return rows.repartitionByRange("term").sortWithinPartitions("term", "id")
+    """Rows in files sorted by term, so that a search reads only the row groups of its terms."""
+    return rows.repartition("term", F.pmod("id", F.lit(TERM_PARTS))).sortWithinPartitions("term", "id")
 
 
 def save_index(chunks: DataFrame, models: dict[str, Weighted], path: str, words: DataFrame | None = None) -> None:

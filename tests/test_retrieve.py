@@ -75,7 +75,7 @@ def test_windows_and_groups(spark):
     hits = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 5)], "query_id bigint, rank int, id bigint")
     near = assemble.context_windows(hits, assemble.positions(chunks), chunks, 1)
     assert sorted((r["id"], r["offset"], r["near_id"]) for r in near.collect()) == [(2, -1, 1), (2, 0, 2), (2, 1, 4), (3, 0, 3), (3, 1, 6)]
-    groups = {r["doc_name"]: (r["doc_ord"], r["texts"]) for r in assemble.group_context(near).collect()}
+    groups = {r["doc_name"]: (r["doc_ord"], r["texts"]) for r in assemble.group_context(near.drop("near_text"), chunks).collect()}
     assert groups == {"d": (1, ["a", "b"]), "e": (2, ["c", None])}
     assert [assemble.window_width(n) for n in (0, 1, 2, 3, 5)] == [0, 0, 0, 1, 2]
 
