@@ -60,9 +60,10 @@ def keyword_terms(queries: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
 
 def variant_counts(chunks: DataFrame, variants: list[str]) -> DataFrame:
     """``id, variant, n``: how often each variant stands in a chunk's lower-cased text, where it does."""
-    low = F.lower("text")
+    lowered = spread(chunks.select("id", F.lower("text").alias("low")))
+    low = F.col("low")
     counted = F.transform(F.array(*map(F.lit, variants)), lambda v: F.when(F.contains(low, v), F.struct(v.alias("variant"), occurrences(low, v).alias("n"))))
-    return chunks.select("id", F.explode(F.filter(counted, lambda c: c.isNotNull())).alias("c")).select("id", "c.variant", "c.n")
+    return lowered.select("id", F.explode(F.filter(counted, lambda c: c.isNotNull())).alias("c")).select("id", "c.variant", "c.n")
 
 
 def posted_counts(posted: DataFrame, variants: list[str]) -> DataFrame:
