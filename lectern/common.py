@@ -20,10 +20,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for Python work on small inputs; large inputs keep the partitions of their scan.
 
     One small Parquet file is one partition, which would leave all cores but one idle. A scan of a large
-    table already has more partitions than cores and isn't shuffled.
+    table already has more partitions than cores and isn't shuffled. Streams are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def small_batches(batches, most_bytes: int = 8_000_000):

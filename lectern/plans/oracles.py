@@ -320,7 +320,7 @@ ORACLES: dict[str, str] = {
     "chat_messages": f"""WITH {_CHUNKS}, {_runs(12)}, {_context(False)}, l AS (SELECT eval_id, count(*) AS messages, arg_max(run_id, (run_at, run_id)) AS latest FROM eval_runs GROUP BY 1)
         SELECT l.eval_id AS session_id, messages, md5(CASE WHEN context IS NULL THEN e.prompt ELSE '[Retrieved ' || chunks || ' chunks from ' || docs || ' documents]' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || e.prompt END) AS last_digest
         FROM l JOIN eval_cases e ON e.id = l.eval_id LEFT JOIN ctx ON ctx.query_id = l.latest""",
-    "chat_sources": f"WITH {_CHUNKS}, {_runs(12)} SELECT query_id, doc_name, {_collapse('substr(text, 1, 150)')} AS excerpt FROM (SELECT h.query_id, c.doc_name, arg_min(c.text, h.rank) AS text FROM hits h JOIN chunks c USING (id) WHERE c.doc_name IS NOT NULL GROUP BY 1, 2)",
+    "chat_sources": f"WITH {_CHUNKS}, {_runs(12)} SELECT query_id, doc_name, {_collapse('substr(text, 1, 150)')} AS excerpt FROM (SELECT h.query_id, c.doc_name, arg_min({{'t': c.text}}, h.rank).t AS text FROM hits h JOIN chunks c USING (id) WHERE c.doc_name IS NOT NULL GROUP BY 1, 2)",
     "staged_merge": f"""{_BASE}, {_BM25}, {_KEYWORD}, fresh AS {_top('bscore', 15, 'id DESC')}
         SELECT query_id, id, source, rank FROM (SELECT query_id, id, 0 AS source, rank FROM keyword UNION ALL SELECT query_id, id, 1, rank FROM fresh) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY source, rank) = 1""",
     "cli_print": f"""{_BASE}, {_TFIDF}, {_QTFIDF}, t AS {_top('raw', 3, 'id DESC', 'id', False)}
