@@ -18,7 +18,7 @@ def same_as_sql(spark, data_dir, duck, name):
     assert sorted(repr(rounded(tuple(r))) for r in df.collect()) == sorted(repr(rounded(r)) for r in wanted)
 
 
-@pytest.mark.parametrize("name", ["context_group"])
+@pytest.mark.parametrize("name", ["context_group", "prompt_rows", "appendix"])
 def test_batches_give_all_rows(spark, data_dir, duck, monkeypatch, name):
     monkeypatch.setattr(search, "BATCH_LEAST", 2000)
     monkeypatch.setattr(search, "BATCH_CHUNKS", 0)
@@ -39,7 +39,7 @@ def indexes(spark):
     return {x for x in os.listdir(common.shared_dir(spark).removeprefix("file://")) if x.startswith("lectern-index-")}
 
 
-@pytest.mark.parametrize("name", ["context_group"])
+@pytest.mark.parametrize("name", ["context_group", "prompt_rows", "appendix", "report_refs", "report_files"])
 def test_contexts_need_no_index(spark, data_dir, tmp_path, name):
     os.symlink(data_dir, tmp_path / "tables")
     before = indexes(spark)
