@@ -46,6 +46,13 @@ def test_contexts_need_no_index(spark, data_dir, tmp_path, name):
     assert entry.queries()[name](spark, str(tmp_path / "tables")).count() and indexes(spark) == before
 
 
+def test_report_files_store_no_texts(spark, data_dir, tmp_path):
+    os.symlink(data_dir, tmp_path / "tables")
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert entry.queries()["report_files"](spark, str(tmp_path / "tables")).count() and set(os.listdir(folder)) == before
+
+
 def shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     return sum(f.startswith("shuffle_") for d in folders for _, _, files in os.walk(str(d)) for f in files)
