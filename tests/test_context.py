@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lectern import common
+from lectern.operators import assemble
 from lectern.plans import search
 from tests.conftest import rounded
 
@@ -53,6 +54,25 @@ def test_report_files_store_no_texts(spark, data_dir, tmp_path):
     assert entry.queries()["report_files"](spark, str(tmp_path / "tables")).count() and set(os.listdir(folder)) == before
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_references_move_rows_once(spark, data_dir):
+    assert shuffles(search.run_hits(spark, data_dir, 30)) == 1
+    hits, named = spark.range(9).selectExpr("id % 3 AS query_id", "id"), spark.range(9).selectExpr("id", "'a' AS doc_name")
+    found = assemble.number_references(assemble.hit_documents(hits, named))
+    assert shuffles(found) - shuffles(hits.join(named, "id")) == 1 and sorted(map(tuple, found.collect())) == [(k, "a", 1) for k in range(3)]
+
+
+def test_copies_of_a_result_take_no_place(spark, tmp_path):
+    rows = [(1, 7, 11, 0.5)] * 4 + [(2, 7, 12, 0.9)] * 3 + [(4, 7, 14, 0.5), (3, 7, 11, 0.5), (5, 7, 15, float("nan")), (6, 7, 16, None), (7, 7, 17, 0.0), (8, None, 18, 0.9), (9, 8, 19, 0.1)]
+    spark.createDataFrame(rows, "result_id bigint, run_id bigint, id bigint, relevance_score double").repartition(5).write.parquet(str(tmp_path / "results.parquet"))
+    every = [(7, 1, 12, 0.9), (7, 2, 11, 0.5), (7, 3, 11, 0.5), (7, 4, 14, 0.5), (8, 1, 19, 0.1)]
+    for k in (None, 1, 2, 3, 30):
+        assert sorted(map(tuple, search.run_hits(spark, str(tmp_path), k).collect())) == [r for r in every if r[1] <= (k or 30)]
+
+
 def shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     return sum(f.startswith("shuffle_") for d in folders for _, _, files in os.walk(str(d)) for f in files)
